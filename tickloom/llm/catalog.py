@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import Vocabulary, bpe_decode, bpe_encode
 from .substring_dedup import substring_dedup
 
 
@@ -17,9 +18,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark, read(spark, sf_dir, "documents"), window=20, base=5, with_text=False)
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    decoded = bpe_decode(spark, bpe_encode(spark, read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op10_bpe": op10_bpe,
     }
 
 
