@@ -19,6 +19,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -119,7 +120,7 @@ def bounded_batches(batches: Iterator[pa.RecordBatch], sizes, limit: int = PACK_
 
 def text_sizes(column: int):
     def sizes(batch: pa.RecordBatch) -> np.ndarray:
-        return pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        return pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
 
     return sizes
 
@@ -132,8 +133,6 @@ def pack_documents(ws: Workspace, docs: DataFrame, keep: tuple[str, ...] = ()) -
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
         first, n = TaskContext.get().partitionId() << 24, 0
         codec = pa.ipc.IpcWriteOptions(compression="zstd")
         held: list[pa.RecordBatch] = []
@@ -177,8 +176,6 @@ def texts_of(table: pa.Table) -> list[bytes]:
 
 
 def ids_of(table: pa.Table) -> np.ndarray:
-    import pyarrow.compute as pc
-
     return pc.fill_null(table.column("doc_id"), int(LAST_ID)).to_numpy().astype(np.int64)
 
 
