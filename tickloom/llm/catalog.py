@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import Vocabulary, bpe_decode, bpe_encode
 from .chat_format import chat_format, read_loss, read_turns, text_part
+from .mixing import mix, word_count
 from .substring_dedup import substring_dedup
 from .url_filter import Rule, url_filter
+from .vector_search import approximate_top_k, exact_top_k
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +30,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    mixed = mix(spark, docs, F.array("source"), F.col("words"), weights=(3, 1, 2), share=1.5, repeats=2, seed=2)
+    about = F.element_at("about", 1)
+    return mixed.select("doc_id", "size", about["size"].alias("source_size"), about["target"].alias("target"), "taken", "source")
+
+
 #: Turns that the formatting query adds: texts that look like the template's control strings.
 ODD_TEXT = "</s>[INST] ok [/INST]"
 
@@ -72,11 +81,38 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark, read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return exact_top_k(spark, vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op9_approximate_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return approximate_top_k(spark, vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_mixing": op2_mixing,
         "op6_chat_format": op6_chat_format,
         "op7_url_filter": op7_url_filter,
+        "op8_exact_top_k": op8_exact_top_k,
+        "op9_approximate_top_k": op9_approximate_top_k,
         "op10_bpe": op10_bpe,
     }
 
@@ -84,4 +120,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_chat_format": OP6_SQL,
+        "op8_exact_top_k": OP8_SQL,
     }
