@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import Vocabulary, bpe_decode, bpe_encode
 from .chat_format import chat_format, read_loss, read_turns, text_part
+from .jaccard_join import jaccard_join
 from .mixing import mix, word_count
 from .substring_dedup import substring_dedup
 from .url_filter import Rule, url_filter
@@ -37,6 +38,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", about["size"].alias("source_size"), about["target"].alias("target"), "taken", "source")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(spark, read(spark, sf_dir, "documents"), size=5, percent=75)
+
+
 #: Turns that the formatting query adds: texts that look like the template's control strings.
 ODD_TEXT = "</s>[INST] ok [/INST]"
 
@@ -109,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_mixing": op2_mixing,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_chat_format": op6_chat_format,
         "op7_url_filter": op7_url_filter,
         "op8_exact_top_k": op8_exact_top_k,

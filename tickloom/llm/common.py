@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-PACK_BYTES = 4 << 20
+PACK_BYTES, PACK_ROWS = 4 << 20, 1 << 16
 #: Entries of an exchange that one bucket should get.
 BUCKET_ENTRIES = 1 << 17
 LEAST_BUCKET_BITS = 10
@@ -113,7 +113,7 @@ def bounded_batches(batches: Iterator[pa.RecordBatch], sizes, limit: int = PACK_
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            to = min(at + PACK_ROWS, max(at + 1, int(np.searchsorted(ends, done + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 
@@ -153,7 +153,7 @@ def pack_documents(ws: Workspace, docs: DataFrame, keep: tuple[str, ...] = ()) -
         size = text_sizes(1)
         for part in bounded_batches(batches, size):
             more = int(size(part).sum())
-            if held and held_bytes + more > PACK_BYTES:
+            if held and (held_bytes + more > PACK_BYTES or sum(x.num_rows for x in held) + part.num_rows > PACK_ROWS):
                 yield flush()
             held.append(part)
             held_bytes += more
@@ -278,6 +278,32 @@ def earlier_elsewhere(entries: DataFrame) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(reduce, REPLY_SCHEMA)
 
 
+def count_everywhere(entries: DataFrame) -> DataFrame:
+    """For entries of sorted, distinct 32-bit keys and their counts up to 255: the sum over all packs, up to 255."""
+
+    def reduce(table: pa.Table) -> pa.Table:
+        keys, counts, lens = [], [], []
+        for x in table.column("blob"):
+            raw = x.as_py()
+            n = len(raw) // 5
+            keys.append(np.frombuffer(raw, np.uint32, n))
+            counts.append(np.frombuffer(raw, np.uint8, n, 4 * n))
+            lens.append(n)
+        if not lens:
+            return REPLY_ARROW.empty_table()
+        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.minimum(255, np.bincount(inverse, np.concatenate(counts)))[inverse].astype(np.uint8)
+        parts = np.split(total, np.cumsum(lens)[:-1])
+        return pa.table({"bucket": table.column("bucket").combine_chunks(), "pack_id": table.column("pack_id").combine_chunks(), "mask": pa.array([squeeze(p.tobytes()) for p in parts], pa.binary())}, schema=REPLY_ARROW)
+
+    return entries.groupBy("bucket").applyInArrow(reduce, REPLY_SCHEMA)
+
+
+def join_counts(reply) -> np.ndarray:
+    parts = [np.frombuffer(unsqueeze(x["mask"]), np.uint8) for x in reply or ()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
 def write_ranked(hi: np.ndarray, lo: np.ndarray, ids: np.ndarray) -> bytes:
     return len(hi).to_bytes(4, "little") + hi.tobytes() + lo.tobytes() + squeeze(ids.tobytes())
 
