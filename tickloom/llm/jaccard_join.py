@@ -30,6 +30,8 @@ from .substring_dedup import PackWords, _rolling
 
 _WORD, _WINDOW, _SHORT = (21, 0xD6E8FEB86659FD93), 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 BLOCK_ROWS, BLOCK_COLUMNS = 1024, 8
+#: Turns in which a column's rows are multiplied with one of them before all that is left is.
+LEADER_TURNS = 2
 
 
 class Shingles:
@@ -174,14 +176,19 @@ def _links(ws: c.Workspace, rows: DataFrame, percent: int) -> DataFrame:
     """Links that connect whatever rows at or above the threshold connect, and no others."""
     cells = ws.table(rows.select("uid", "n", F.posexplode(F.slice("columns", F.lit(1), F.col("n_prefix").cast("int"))).alias("k", "col"), "places").select("uid", "n", "col", (F.col("places") + F.col("k")).alias("place")), "cells")
     fits = lambda x, y: (F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place")) * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent)
-    first = cells.groupBy("col").agg(F.min(F.struct("uid", "n", "place")).alias("x"), F.count("*").alias("wide")).filter("wide > 1").select("col", "x.*")
-    pairs = first.alias("x").join(cells.alias("y"), "col").filter(F.col("x.uid") != F.col("y.uid")).filter(fits("x", "y")).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    found = _multiply(ws, rows, ws.table(pairs, "pairs"), percent)
-    # rows that share a column and are still apart
-    labels = connected(ws, found)
-    told = cells.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    mixed = told.groupBy("col").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("col")
-    apart = ws.table(told.join(mixed, "col"), "apart")
+    found, apart = None, cells.withColumn("label", F.col("uid"))
+    for turn in range(LEADER_TURNS):
+        # in the first turn the row whose column stands earliest, which is the least edited one; then any
+        rank = F.col("place") if turn == 0 else F.xxhash64("uid", F.lit(turn))
+        leader = apart.groupBy("col").agg(F.min(F.struct(rank.alias("rank"), "uid", "n", "place", "label")).alias("x")).select("col", "x.*")
+        pairs = leader.alias("x").join(apart.alias("y"), "col").filter((F.col("x.label") != F.col("y.label")) & fits("x", "y"))
+        more = _multiply(ws, rows, ws.table(pairs.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct(), "pairs"), percent)
+        found = more if found is None else found.union(more)
+        told = cells.join(connected(ws, found), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+        # columns whose rows aren't all of one component yet
+        mixed = told.groupBy("col").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("col")
+        apart = ws.table(told.join(mixed, "col"), "apart")
+    # whatever is still apart, each with each: this makes the result exact
     pairs = apart.alias("x").join(apart.alias("y"), "col").filter((F.col("x.label") < F.col("y.label")) & fits("x", "y")).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
     return found.union(_multiply(ws, rows, ws.table(pairs, "pairs"), percent))
 
