@@ -10,6 +10,7 @@ from .bpe import Vocabulary, bpe_decode, bpe_encode
 from .chat_format import chat_format, read_loss, read_turns, text_part
 from .jaccard_join import jaccard_join
 from .mixing import mix, word_count
+from .quality import quality_scores
 from .substring_dedup import substring_dedup
 from .url_filter import Rule, url_filter
 from .vector_search import approximate_top_k, exact_top_k
@@ -38,6 +39,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", about["size"].alias("source_size"), about["target"].alias("target"), "taken", "source")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "lang", "n_bytes", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"), "passes")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark, read(spark, sf_dir, "documents"), size=5, percent=75)
 
@@ -114,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_mixing": op2_mixing,
+        "op4_quality": op4_quality,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_chat_format": op6_chat_format,
         "op7_url_filter": op7_url_filter,
