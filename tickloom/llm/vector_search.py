@@ -21,6 +21,8 @@ from . import common as c
 from .kdtree import KdTree
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 4096, 512, 128
+#: In the projected trees; their points are cheap to look at, and a step has its price.
+FLAT_LEAF_ROWS = 512
 RESULT = "query_id long, rank int, vec_id long, score {score}"
 
 
@@ -217,7 +219,7 @@ def approximate_top_k(spark: SparkSession, vectors: DataFrame, is_query: Column,
     def build(matrix: np.ndarray, ids: np.ndarray) -> bytes:
         norm = (matrix * matrix).sum(axis=1)
         lifted = np.c_[matrix, np.sqrt(np.maximum(0, largest - norm))]
-        tree = KdTree.build(lifted @ matrix_for(matrix.shape[1]), LEAF_ROWS)
+        tree = KdTree.build(lifted @ matrix_for(matrix.shape[1]), FLAT_LEAF_ROWS)
         return tree.dump(ids=ids[tree.order], vectors=matrix[tree.order])
 
     def search(tree: KdTree, data: dict, queries: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int) -> list[Top]:
@@ -247,6 +249,11 @@ def approximate_top_k(spark: SparkSession, vectors: DataFrame, is_query: Column,
 
 
 def _verify(top: Top, data: dict, rows: np.ndarray, query: np.ndarray, own: int) -> None:
-    rows = rows[data["ids"][rows] != own]
+    vectors = data["vectors"][rows]
+    rough, kth = vectors @ query, top.kth()
+    near = (rough >= kth - 1e-9 * max(1.0, abs(kth)) if kth > -math.inf else np.ones(len(rows), bool)) & (data["ids"][rows] != own)
+    if not near.any():
+        return
+    rows, vectors = rows[near], vectors[near]
     # summed row by row, so that equal vectors get equal scores wherever they stand
-    top.offer((data["vectors"][rows] * query).sum(axis=1), data["ids"][rows])
+    top.offer((vectors * query).sum(axis=1), data["ids"][rows])
