@@ -12,6 +12,7 @@ from .jaccard_join import jaccard_join
 from .mixing import mix, word_count
 from .quality import quality_scores
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .url_filter import Rule, url_filter
 from .vector_search import approximate_top_k, exact_top_k
 
@@ -39,6 +40,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", about["size"].alias("source_size"), about["target"].alias("target"), "taken", "source")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(spark, read(spark, sf_dir, "documents"), with_text=False).drop("removed")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality_scores(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scores.select("doc_id", "lang", "n_bytes", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"), "passes")
@@ -120,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_mixing": op2_mixing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality": op4_quality,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_chat_format": op6_chat_format,
