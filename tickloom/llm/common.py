@@ -346,5 +346,32 @@ class Rolling:
         return (prefix[end] - prefix[start]) * self.down[start]
 
 
+_ROLLING: dict[int, Rolling] = {}
+#: Values that are summed at once where runs of bytes are hashed.
+_AT_ONCE = 1 << 18
+
+
+def rolling(base: int, n: int) -> Rolling:
+    """A Rolling for at least n values, kept by the worker; long ones aren't kept."""
+    if n > 1 << 21:
+        return Rolling(base, n)
+    if base not in _ROLLING or len(_ROLLING[base].up) <= n:
+        _ROLLING[base] = Rolling(base, max(n, 1 << 16))
+    return _ROLLING[base]
+
+
+def run_hashes(seed: int, base: int, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes start to end for each run; starts must rise.  Works in spans, so memory stays small."""
+    table, out, i = byte_values(seed), np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        low = start[i]
+        j = int(np.searchsorted(start, low + _AT_ONCE))
+        high = int(end[i:j].max())
+        roll = rolling(base, high - low)
+        out[i:j] = roll.runs(roll.prefix(table[data[low:high]]), start[i:j] - low, end[i:j] - low)
+        i = j
+    return mix(out + (end - start).astype(np.uint64))
+
+
 def byte_values(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

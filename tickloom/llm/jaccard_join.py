@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as c
 from .components import connected
-from .substring_dedup import PackWords, _rolling
+from .substring_dedup import PackWords
 
 _WORD, _WINDOW, _SHORT = (21, 0xD6E8FEB86659FD93), 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 BLOCK_ROWS, BLOCK_COLUMNS = 1024, 8
@@ -45,7 +45,7 @@ class Shingles:
         doc, value = words.doc[at], words.windows(hashes, size, _WINDOW)[at]
         short = np.flatnonzero((words.n_words > 0) & (words.n_words < size))
         if len(short):
-            roll = _rolling(_WINDOW, words.n)
+            roll = c.rolling(_WINDOW, words.n)
             end = np.cumsum(words.n_words)[short]
             whole = roll.runs(roll.prefix(hashes), end - words.n_words[short], end)
             value = np.r_[value, c.mix(whole ^ (np.uint64(_SHORT) * words.n_words[short].astype(np.uint64)))]

@@ -24,15 +24,6 @@ from . import common as c
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_ROLLING: dict[int, c.Rolling] = {}
-
-
-def _rolling(base: int, n: int) -> c.Rolling:
-    if base not in _ROLLING or len(_ROLLING[base].up) <= n:
-        _ROLLING[base] = c.Rolling(base, max(n, 1 << 16))
-    return _ROLLING[base]
-
-
 class PackWords:
     """Words of a pack's texts, end to end, and hashes of runs of them that stay in one document."""
 
@@ -48,15 +39,14 @@ class PackWords:
 
     def hashes(self, seed: int, base: int) -> np.ndarray:
         """One 64-bit hash for each word."""
-        roll = _rolling(base, len(self.buf))
-        return c.mix(roll.runs(roll.prefix(c.byte_values(seed)[self.buf]), self.start, self.end) + (self.end - self.start).astype(np.uint64))
+        return c.run_hashes(seed, base, self.buf, self.start, self.end)
 
     def windows(self, words: np.ndarray, size: int, base: int) -> np.ndarray:
         """Hash of the size words from each word on; meaningless where inside() is false."""
         m = self.n - size + 1
         if m <= 0:
             return np.zeros(0, np.uint64)
-        roll = _rolling(base, self.n)
+        roll = c.rolling(base, self.n)
         at = np.arange(m)
         return c.mix(roll.runs(roll.prefix(words), at, at + size))
 

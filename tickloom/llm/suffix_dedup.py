@@ -167,11 +167,7 @@ class Pieces(NamedTuple):
     def classes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct 96-bit hashes in order, the class of each piece and the first piece of each class."""
         end = self.start + self.count + LENGTH - 1
-        found = []
-        for seed, base in _PIECE:
-            roll = c.Rolling(base, len(data))
-            found.append(c.mix(roll.runs(roll.prefix(c.byte_values(seed)[data]), self.start, end) + (end - self.start).astype(np.uint64)))
-            del roll
+        found = [c.run_hashes(seed, base, data, self.start, end) for seed, base in _PIECE]
         hi, lo = found[0], (found[1] >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((np.arange(len(hi)), lo, hi))
         new = np.r_[True, (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])] if len(hi) else np.zeros(0, bool)
