@@ -229,6 +229,52 @@ def mask_bytes(mask: np.ndarray) -> bytes:
     return len(mask).to_bytes(4, "little") + np.packbits(mask).tobytes()
 
 
+def row_places(packs: DataFrame, more: str = "", make=None) -> DataFrame:
+    """pack_id, row and doc_id of every document, and the columns that make(table) gives under the schema `more`."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                table = open_pack(row["pack"])
+                n = table.num_rows
+                own = make(table) if make else {}
+                yield pa.RecordBatch.from_arrays([pa.array([row["pack_id"]] * n, pa.int64()), pa.array(np.arange(n)), table.column("doc_id").combine_chunks(), *own.values()], names=["pack_id", "row", "doc_id", *own])
+
+    return packs.select("pack_id", "pack").mapInArrow(index, "pack_id long, row long, doc_id long" + (f", {more}" if more else ""))
+
+
+def rows_by_pack(places: DataFrame) -> DataFrame:
+    """Replies that tell each pack its rows among places (pack_id, row), as often as they occur there."""
+
+    def pick(table: pa.Table) -> pa.Table:
+        return pa.table({"bucket": [0], "pack_id": [table.column("pack_id")[0].as_py()], "mask": pa.array([np.sort(table.column("row").to_numpy()).tobytes()], pa.binary())}, schema=REPLY_ARROW)
+
+    return places.select("pack_id", "row").groupBy("pack_id").applyInArrow(pick, REPLY_SCHEMA)
+
+
+def chosen_rows(reply) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x["mask"], np.int64) for x in reply]) if reply else np.zeros(0, np.int64)
+
+
+def emit_rows(packs: DataFrame, rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The documents among rows (replies of rows_by_pack), with the columns of like, all of which the packs keep."""
+    names = like.columns
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = chosen_rows(row["rows"])
+                if len(at):
+                    yield from open_pack(row["pack"]).select(names).take(at).combine_chunks().to_batches()
+
+    return with_replies(packs, {"rows": rows}).mapInArrow(emit, like.select(*[F.col(x).cast({"doc_id": "long", "text": "string"}[x]) if x in ("doc_id", "text") else F.col(x) for x in names]).schema)
+
+
+def others(docs: DataFrame) -> tuple[str, ...]:
+    """Columns of docs besides doc_id and text."""
+    return tuple(x for x in docs.columns if x not in ("doc_id", "text"))
+
+
 ENTRY_SCHEMA = "bucket long, pack_id long, blob binary"
 ENTRY_ARROW = pa.schema([("bucket", pa.int64()), ("pack_id", pa.int64()), ("blob", pa.binary())])
 REPLY_ARROW = pa.schema([("bucket", pa.int64()), ("pack_id", pa.int64()), ("mask", pa.binary())])

@@ -88,8 +88,7 @@ def _signatures(packs: DataFrame, size: int) -> DataFrame:
 
 def _kept_rows(row: dict, n: int) -> np.ndarray:
     keep = np.zeros(n, bool)
-    for part in row["rows"] or ():
-        keep[np.frombuffer(part["mask"], np.int64)] = True
+    keep[c.chosen_rows(row["rows"])] = True
     return keep
 
 
@@ -209,20 +208,36 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: i
     compared by 64-bit hashes.
     """
     ws = c.Workspace(spark)
-    packs = c.pack_documents(ws, docs)
+    return _classes(ws, c.pack_documents(ws, docs), size, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs that are the first of their component under jaccard_join(), all columns of them.
+
+    Documents with an empty set all stay.  First is the smallest doc_id, nulls last;
+    among rows of one doc_id, the one packed first.
+    """
+    ws = c.Workspace(spark)
+    packs = c.pack_documents(ws, docs, keep=c.others(docs))
+    classes = _classes(ws, packs, size, percent)
+    first = classes.filter("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "pack_id", "row")).alias("x")).select("x.pack_id", "x.row")
+    stay = first.union(classes.filter("n = 0").select("pack_id", "row"))
+    return c.emit_rows(packs, ws.table(c.rows_by_pack(stay), "stay"), docs)
+
+
+def _classes(ws: c.Workspace, packs: DataFrame, size: int, percent: int) -> DataFrame:
+    """uid, pack_id, row, doc_id, n, label and component_id of every document."""
     signed = ws.table(_signatures(packs, size), "signed")
     set_of = ["n", "sig_a", "sig_b"]
     sets = ws.table(signed.filter("n > 0").groupBy(*set_of).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "pack_id", "row")).alias("first")).select(*set_of, "first.doc_id", "first.uid", "first.pack_id", "first.row"), "sets")
 
     total = sets.agg(F.sum("n")).first()[0] or 0
-    bits = c.bucket_bits(total)
-    pick = lambda t: pa.table({"bucket": [0], "pack_id": [t.column("pack_id")[0].as_py()], "mask": pa.array([np.sort(t.column("row").to_numpy()).tobytes()], pa.binary())}, schema=c.REPLY_ARROW)
-    kept = ws.table(sets.select("pack_id", "row").groupBy("pack_id").applyInArrow(pick, c.REPLY_SCHEMA), "kept")
-    rows = _candidates(packs, kept, size, percent, ws, bits)
+    kept = ws.table(c.rows_by_pack(sets), "kept")
+    rows = _candidates(packs, kept, size, percent, ws, c.bucket_bits(total))
     labels = connected(ws, _links(ws, rows, percent))
 
     found = sets.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     lowest = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    whole = ws.table(found.join(lowest, "label").select(*set_of, "component_id"), "classes")
+    whole = ws.table(found.join(lowest, "label").select(*set_of, "label", "component_id"), "classes")
     out = signed.join(whole, set_of, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumns({"label": F.coalesce("label", "uid"), "component_id": F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))})

@@ -14,7 +14,8 @@ import heapq
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window
 
 from . import common as c
@@ -190,3 +191,21 @@ def mix(spark: SparkSession, docs: DataFrame, sources: Column, size: Column, wei
     by = F.filter(F.transform("parts", lambda p: F.struct(p["source"].alias("source"), overlap(p["start"], p["stop"]).alias("words"))), lambda p: p["words"] > 0)
     rows = rows.withColumns({"taken": overlap(zero, F.col("flow")), "taken_by": by})
     return rows.drop("_members", "_order", "_bucket", "_inside", "_before", "_at", "pattern_size", "flow", "parts")
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, weights: Sequence[float], share: float = 1.5, repeats: int = 2, seed: int = 0) -> DataFrame:
+    """The rows of docs that mix() takes, whole and as often as it takes them; needs source besides doc_id and text.
+
+    Sizes are numbers of words.  Text isn't moved for it.
+    """
+    ws = c.Workspace(spark)
+    packs = c.pack_documents(ws, docs, keep=c.others(docs))
+
+    def sizes(table: pa.Table) -> dict[str, pa.Array]:
+        return {"source": table.column("source").combine_chunks(), "words": pa.array([len(t.split()) for t in c.texts_of(table)], pa.int64())}
+
+    rows = ws.table(c.row_places(packs, "source string, words long", sizes), "sizes")
+    mixed = mix(spark, rows, F.array("source"), F.col("words"), weights, share, repeats, seed, cut=False)
+    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    chosen = mixed.select("pack_id", "row", F.explode(F.array_repeat(F.lit(0), times)))
+    return c.emit_rows(packs, ws.table(c.rows_by_pack(chosen), "chosen"), docs)

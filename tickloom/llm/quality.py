@@ -65,8 +65,7 @@ def _in_buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _trusted_rows(row: dict, n: int) -> np.ndarray:
     out = np.zeros(n, bool)
-    for part in row["trusted"] or ():
-        out[np.frombuffer(part["mask"], np.int64)] = True
+    out[c.chosen_rows(row["trusted"])] = True
     return out
 
 
@@ -109,7 +108,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
     of = [F.sum((F.col("n") == k).cast("double")).alias(f"c{k}") for k in (1, 2, 3, 4)]
     y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
     # a count of counts may be 0 in small data; the discount then is what keeps it in bounds
-    bounded = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(F.when(F.col(f"c{k}") > 0, k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}")), F.lit(0.5 * k))))
+    bounded = lambda k: F.greatest(F.lit(0.05), F.least(F.lit(float(k)), F.coalesce(F.when(F.col(f"c{k}") > 0, k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}")), F.lit(0.5 * k))))
     return counts.filter("n > 0").groupBy("lang").agg(*of).select("lang", *(bounded(k).alias(f"d{k}") for k in (1, 2, 3)))
 
 
@@ -198,20 +197,22 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, quan
     perplexity, threshold, passes.
     """
     ws = c.Workspace(spark)
-    packs = c.pack_documents(ws, docs, keep=("lang",))
+    return _scores(ws, c.pack_documents(ws, docs, keep=("lang",)), labels, quantile, held_out)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, held_out: int = 10) -> DataFrame:
+    """The rows of docs that pass quality_scores(), all columns of them.  Text isn't moved for it."""
+    ws = c.Workspace(spark)
+    packs = c.pack_documents(ws, docs, keep=c.others(docs))
+    passing = _scores(ws, packs, labels, quantile, held_out).filter("passes")
+    return c.emit_rows(packs, ws.table(c.rows_by_pack(passing), "passing"), docs)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                table = c.open_pack(row["pack"])
-                n = table.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([row["pack_id"]] * n, pa.int64()), pa.array(np.arange(n)), table.column("doc_id").combine_chunks()], names=["pack_id", "row", "doc_id"])
 
+def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: float, held_out: int) -> DataFrame:
     judged = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = judged.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(held_out)) == 0).alias("held"))
-    places = ws.table(packs.select("pack_id", "pack").mapInArrow(index, "pack_id long, row long, doc_id long").join(good, "doc_id"), "trusted")
-    pick = lambda t: pa.table({"bucket": [0], "pack_id": [t.column("pack_id")[0].as_py()], "mask": pa.array([np.sort(t.column("row").to_numpy()).tobytes()], pa.binary())}, schema=c.REPLY_ARROW)
-    learn = ws.table(places.filter("not held").groupBy("pack_id").applyInArrow(pick, c.REPLY_SCHEMA), "learn")
+    places = ws.table(c.row_places(packs).join(good, "doc_id"), "trusted")
+    learn = ws.table(c.rows_by_pack(places.filter("not held")), "learn")
 
     entries = ws.table(_entries(packs, learn), "ngrams")
     grams = ws.table(_distinct(entries), "grams")

@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as c
@@ -344,6 +345,42 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = True) -
     """
     ws = c.Workspace(spark)
     packs = c.pack_documents(ws, docs)
+    out = c.with_replies(packs, _repeats(ws, packs)).mapInArrow(_per_pack(lambda row: _cut(row, with_text)), RESULT)
+    return out if with_text else out.drop("kept")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with the bytes that suffix_dedup() removes cut out of text, all other columns as they are.
+
+    A character of which only some bytes are to go stays whole, so the text stays
+    UTF-8.  Rows all stay, if with empty text; null text stays null.
+    """
+    ws = c.Workspace(spark)
+    packs = c.pack_documents(ws, docs, keep=c.others(docs))
+    names = docs.columns
+
+    def cut(row: dict) -> Iterator[pa.RecordBatch]:
+        table = c.open_pack(row["pack"])
+        texts, sizes, remove = _removed(row, table)
+        ends, out = np.cumsum(sizes), []
+        for k, text in enumerate(texts):
+            mine = remove[ends[k] - sizes[k] : ends[k]]
+            if mine.any():
+                data = np.frombuffer(text, np.uint8)
+                first = np.flatnonzero(data & 0xC0 != 0x80)
+                whole = np.minimum.reduceat(mine.astype(np.uint8), first)
+                text = data[np.repeat(whole, np.diff(np.r_[first, len(data)])) == 0].tobytes()
+            out.append(text.decode())
+        text = pc.if_else(pc.is_valid(table.column("text")), pa.chunked_array([pa.array(out, pa.string())]), pa.scalar(None, pa.string()))
+        table = table.set_column(table.column_names.index("text"), "text", text)
+        yield from table.select(names).combine_chunks().to_batches()
+
+    schema = docs.select(*[F.col(x).cast({"doc_id": "long", "text": "string"}[x]) if x in ("doc_id", "text") else F.col(x) for x in names]).schema
+    return c.with_replies(packs, _repeats(ws, packs)).mapInArrow(_per_pack(cut), schema)
+
+
+def _repeats(ws: c.Workspace, packs: DataFrame) -> dict[str, DataFrame]:
+    """What packs need to know to tell which of their bytes are repeats: replies by name."""
     total = packs.agg(F.sum("n_bytes")).first()[0] or 0
     anchor_bits = c.bucket_bits(total // ((LENGTH - GRAM) // 4))  # two anchors in about half as many bytes as a string has grams
     shard_bits = max(c.LEAST_BUCKET_BITS, math.ceil(math.log2(max(1, total / SHARD_BYTES))))
@@ -386,32 +423,37 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = True) -
 
     own["strings"] = ws.table(c.with_replies(packs, own).mapInArrow(_per_pack(send_pieces), c.ENTRY_SCHEMA).groupBy("bucket").applyInArrow(_sort_shard, c.REPLY_SCHEMA), "strings")
 
-    def cut(row: dict) -> Iterator[pa.RecordBatch]:
-        table = c.open_pack(row["pack"])
-        texts, data, sizes = _pack_data(table)
-        pieces = Pieces.load(row["pieces"][0]["mask"])
-        hold, _, held, _ = _holders(row, pieces, data)
-        step = np.zeros(len(data) + 1, np.int32)
-        # copies of pieces that stand earlier go whole, others string by string
-        gone = ~hold
-        np.add.at(step, pieces.start[gone], 1)
-        np.add.at(step, (pieces.start + pieces.count + LENGTH - 1)[gone], -1)
-        count = pieces.count[held]
-        starts = np.repeat(pieces.start[held] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        hit = starts[c.join_masks(row["strings"])]
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + LENGTH, -1)
-        remove = np.cumsum(step[:-1]) > 0
-        ends = np.cumsum(sizes)
-        n_removed, runs, kept = [], [], []
-        for k, text in enumerate(texts):
-            mine = remove[ends[k] - sizes[k] : ends[k]]
-            edges = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8))).reshape(-1, 2)
-            runs.append([{"start": int(a), "stop": int(b)} for a, b in edges])
-            n_removed.append(int((edges[:, 1] - edges[:, 0]).sum()))
-            kept.append(np.frombuffer(text, np.uint8)[~mine].tobytes() if len(edges) else text)
-        spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(sizes), pa.array(n_removed, pa.int64()), pa.array([len(x) for x in runs], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(runs, spans), pa.array(kept if with_text else [None] * len(kept), pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"])
-
-    out = c.with_replies(packs, own).mapInArrow(_per_pack(cut), RESULT)
-    return out if with_text else out.drop("kept")
+    return own
+
+
+def _removed(row: dict, table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts of a pack, their sizes, and which of their bytes are repeats."""
+    texts, data, sizes = _pack_data(table)
+    pieces = Pieces.load(row["pieces"][0]["mask"])
+    hold, _, held, _ = _holders(row, pieces, data)
+    step = np.zeros(len(data) + 1, np.int32)
+    # copies of pieces that stand earlier go whole, others string by string
+    gone = ~hold
+    np.add.at(step, pieces.start[gone], 1)
+    np.add.at(step, (pieces.start + pieces.count + LENGTH - 1)[gone], -1)
+    count = pieces.count[held]
+    starts = np.repeat(pieces.start[held] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    hit = starts[c.join_masks(row["strings"])]
+    np.add.at(step, hit, 1)
+    np.add.at(step, hit + LENGTH, -1)
+    return texts, sizes, np.cumsum(step[:-1]) > 0
+
+
+def _cut(row: dict, with_text: bool) -> Iterator[pa.RecordBatch]:
+    table = c.open_pack(row["pack"])
+    texts, sizes, remove = _removed(row, table)
+    ends = np.cumsum(sizes)
+    n_removed, runs, kept = [], [], []
+    for k, text in enumerate(texts):
+        mine = remove[ends[k] - sizes[k] : ends[k]]
+        edges = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8))).reshape(-1, 2)
+        runs.append([{"start": int(a), "stop": int(b)} for a, b in edges])
+        n_removed.append(int((edges[:, 1] - edges[:, 0]).sum()))
+        kept.append(np.frombuffer(text, np.uint8)[~mine].tobytes() if len(edges) else text)
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(sizes), pa.array(n_removed, pa.int64()), pa.array([len(x) for x in runs], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(runs, spans), pa.array(kept if with_text else [None] * len(kept), pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"])
