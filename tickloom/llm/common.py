@@ -74,10 +74,14 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """df as a table bucketed by key, with as many buckets as shuffle partitions."""
+    def bucketed(self, df: DataFrame, name: str, key: str, gather: bool = False) -> DataFrame:
+        """df as a table bucketed by key, with as many buckets as shuffle partitions.
+
+        gather: rows are shuffled once, so that a bucket is one file; else each task writes its own.
+        """
         table = f"tickloom_{name}_{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, key) if gather else df
         df.write.format("parquet").bucketBy(n, key).option("compression", "uncompressed").option("path", f"{self.path}/{table}").saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)

@@ -27,6 +27,8 @@ _START = 0xFF
 #: Log-probabilities travel as steps of this size.
 _STEP = 1.0 / 2048
 BUCKET_BITS = 8
+#: Bytes of median text by which perplexities are steadied; accuracy of the quantiles.
+USUAL_BYTES, _EXACT = 64, 100_000
 
 _ENTRY = "bucket long, pack_id long, lang string, codes binary, counts binary"
 _ENTRY_ARROW = pa.schema([("bucket", pa.int64()), ("pack_id", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("counts", pa.binary())])
@@ -91,16 +93,22 @@ def _read_codes(raw: bytes) -> np.ndarray:
 
 
 def _distinct(entries: DataFrame) -> DataFrame:
-    """lang, bucket, code and trusted count of every n-gram of the corpus."""
+    """lang, bucket, gram and trusted count of every n-gram of the corpus."""
 
     def reduce(table: pa.Table) -> pa.Table:
-        codes = np.concatenate([_read_codes(x.as_py()) for x in table.column("codes")])
-        counts = np.concatenate([np.frombuffer(c.unsqueeze(x.as_py()), np.uint32) for x in table.column("counts")])
-        distinct, inverse = np.unique(codes, return_inverse=True)
-        n = len(distinct)
-        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * n, pa.string()), "bucket": np.full(n, table.column("bucket")[0].as_py()), "gram": distinct, "n": np.bincount(inverse, counts, minlength=n).astype(np.int64)})
+        langs, out = table.column("lang").to_pylist(), {"lang": [], "gram": [], "n": []}
+        for lang in sorted(set(langs), key=lambda x: (x is None, x or "")):
+            own = table.filter(pa.array([x == lang for x in langs]))
+            codes = np.concatenate([_read_codes(x.as_py()) for x in own.column("codes")])
+            counts = np.concatenate([np.frombuffer(c.unsqueeze(x.as_py()), np.uint32) for x in own.column("counts")])
+            distinct, inverse = np.unique(codes, return_inverse=True)
+            out["lang"].append(pa.array([lang] * len(distinct), pa.string()))
+            out["gram"].append(pa.array(distinct))
+            out["n"].append(pa.array(np.bincount(inverse, counts, minlength=len(distinct)).astype(np.int64)))
+        done = {k: pa.chunked_array(v) for k, v in out.items()}
+        return pa.table({"lang": done["lang"], "bucket": np.full(len(done["gram"]), table.column("bucket")[0].as_py()), "gram": done["gram"], "n": done["n"]})
 
-    return entries.groupBy("lang", "bucket").applyInArrow(reduce, "lang string, bucket long, gram long, n long")
+    return entries.groupBy("bucket").applyInArrow(reduce, "lang string, bucket long, gram long, n long")
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -147,13 +155,21 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, ws: c.
     """pack_id, row, doc_id, lang, n_bytes, perplexity of every document."""
 
     def answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(known.column("gram").to_numpy())
-        grams, steps = known.column("gram").to_numpy()[order], np.minimum(65535, np.round(-np.log(known.column("p").to_numpy()) / _STEP)).astype(np.uint16)[order]
-        masks = [c.squeeze(steps[np.searchsorted(grams, _read_codes(x.as_py()))].tobytes()) for x in asked.column("codes")]
+        langs, grams = known.column("lang").to_pylist(), known.column("gram").to_numpy()
+        steps = np.minimum(65535, np.round(-np.log(known.column("p").to_numpy()) / _STEP)).astype(np.uint16)
+        of: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+        for lang in set(langs):
+            own = np.flatnonzero(np.array([x == lang for x in langs]))
+            own = own[np.argsort(grams[own])]
+            of[lang] = grams[own], steps[own]
+        masks = []
+        for raw, lang in zip(asked.column("codes"), asked.column("lang").to_pylist(), strict=True):
+            have, step = of[lang]
+            masks.append(c.squeeze(step[np.searchsorted(have, _read_codes(raw.as_py()))].tobytes()))
         return pa.table({"bucket": asked.column("bucket"), "pack_id": asked.column("pack_id"), "lang": asked.column("lang"), "mask": pa.array(masks, pa.binary())})
 
-    told = model.select(F.col("lang"), "bucket", "gram", "p")
-    replies = ws.table(entries.select("bucket", "pack_id", "lang", "codes").groupBy("lang", "bucket").cogroup(told.groupBy("lang", "bucket")).applyInArrow(answer, "bucket long, pack_id long, lang string, mask binary"), "log_probabilities")
+    told = model.select("lang", "bucket", "gram", "p")
+    replies = ws.table(entries.select("bucket", "pack_id", "lang", "codes").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(answer, "bucket long, pack_id long, lang string, mask binary"), "log_probabilities")
     by_pack = replies.groupBy("pack_id").agg(F.collect_list(F.struct("lang", "bucket", "mask")).alias("steps"))
     asked = packs.select("pack_id", "pack").join(by_pack.hint("shuffle_hash"), "pack_id", "left")
 
@@ -178,14 +194,17 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, ws: c.
     return asked.mapInArrow(score, "pack_id long, row long, doc_id long, lang string, n_bytes long, perplexity double")
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, held_out: int = 10) -> DataFrame:
+def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, deviations: float = 4.5, held_out: int = 5) -> DataFrame:
     """Perplexity of every document under the trusted text of its language, and whether it passes.
 
     docs needs doc_id, text and lang; labels doc_id, quality and toxic; other columns
     are left out, whatever their names.  Trusted are the documents that all their
     labels call quality 1 and none toxic.  One in `held_out` of them, by a hash of
-    doc_id, isn't counted but sets the threshold: the `quantile` of their
-    perplexities, for each language.
+    doc_id, isn't counted but sets the threshold of its language: the `quantile` of
+    their steadied perplexities or, where that is higher, `deviations` times the
+    distance from the median that the 0.9 quantile gives for one standard deviation,
+    since few kept-out documents don't reach far into the tail.  Steadied: as if
+    USUAL_BYTES of median text stood beside the document's own.
 
     Null lang is a language of its own.  A language without kept-out trusted text
     has no threshold and all its documents pass.  Null and empty texts have null
@@ -194,31 +213,38 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, quan
     gives no rows.  Without any trusted text every probability is 1 / 256.
 
     Returns pack_id, row (where the document is kept), doc_id, lang, n_bytes,
-    perplexity, threshold, passes.
+    perplexity, steady, threshold, passes.
     """
     ws = c.Workspace(spark)
-    return _scores(ws, c.pack_documents(ws, docs, keep=("lang",)), labels, quantile, held_out)
+    return _scores(ws, c.pack_documents(ws, docs, keep=("lang",)), labels, quantile, deviations, held_out)
 
 
-def quality_filter(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, held_out: int = 10) -> DataFrame:
+def quality_filter(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, deviations: float = 4.5, held_out: int = 5) -> DataFrame:
     """The rows of docs that pass quality_scores(), all columns of them.  Text isn't moved for it."""
     ws = c.Workspace(spark)
     packs = c.pack_documents(ws, docs, keep=c.others(docs))
-    passing = _scores(ws, packs, labels, quantile, held_out).filter("passes")
+    passing = _scores(ws, packs, labels, quantile, deviations, held_out).filter("passes")
     return c.emit_rows(packs, ws.table(c.rows_by_pack(passing), "passing"), docs)
 
 
-def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: float, held_out: int) -> DataFrame:
+def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: float, deviations: float, held_out: int) -> DataFrame:
     judged = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = judged.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(held_out)) == 0).alias("held"))
     places = ws.table(c.row_places(packs).join(good, "doc_id"), "trusted")
     learn = ws.table(c.rows_by_pack(places.filter("not held")), "learn")
 
-    entries = ws.table(_entries(packs, learn), "ngrams")
+    entries = ws.bucketed(_entries(packs, learn), "ngrams", "bucket", gather=True)
     grams = ws.table(_distinct(entries), "grams")
     model = _probabilities(ws, grams).withColumnRenamed("lang", "_lang").withColumnRenamed("gram", "_gram")
     model = grams.join(model, _same("lang", "_lang") & (F.col("gram") == F.col("_gram"))).select("lang", "bucket", "gram", "p")
     scores = ws.table(_perplexities(packs, entries, model, ws), "scores")
-    cut = scores.join(places.filter("held").select("pack_id", "row"), ["pack_id", "row"]).groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
-    out = scores.join(F.broadcast(cut), _same("lang", "_lang"), "left").drop("_lang")  # a row for each language
-    return out.withColumn("passes", F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.col("perplexity")), F.lit(False)))
+    # short texts say little: so many bytes of a usual text are added to each
+    kept_out = ws.table(scores.filter("n_bytes > 0").join(places.filter("held").select("pack_id", "row"), ["pack_id", "row"]).select("lang", "n_bytes", F.log("perplexity").alias("loss")), "kept_out")
+    usual = kept_out.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("loss", 0.5, _EXACT).alias("usual"))
+    steady = lambda loss: (loss * F.col("n_bytes") + F.col("usual") * USUAL_BYTES) / (F.col("n_bytes") + USUAL_BYTES)
+    told = kept_out.join(F.broadcast(usual), _same("lang", "_lang")).withColumn("steady", steady(F.col("loss")))  # a row for each language
+    quantiles = told.groupBy("_lang").agg(F.first("usual").alias("usual"), F.percentile_approx("steady", [0.5, 0.9, quantile], _EXACT).alias("q"))
+    spread = (F.col("q")[1] - F.col("q")[0]) / 1.2816
+    cut = quantiles.select("_lang", "usual", F.greatest(F.col("q")[2], F.col("q")[0] + spread * deviations).alias("most"))
+    out = scores.join(F.broadcast(cut), _same("lang", "_lang"), "left").withColumn("steady", F.exp(steady(F.log("perplexity"))))
+    return out.withColumns({"threshold": F.exp("most"), "passes": F.coalesce(F.log("steady") <= F.col("most"), F.col("n_bytes") > 0)}).drop("_lang", "usual", "most")
