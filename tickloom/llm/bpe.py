@@ -23,7 +23,7 @@ from . import common as c
 
 #: Fixed value: how byte-level vocabularies of this kind cut texts before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids a worker remembers; the memory is emptied when it is full.
+#: Pieces whose ids, and pairs whose fit, a worker remembers within a task; the memory is emptied when it is full.
 REMEMBERED = 200_000
 _NO_LIMIT = 1 << 62
 
@@ -120,7 +120,7 @@ class Encoder:
             if stuck:
                 out = True
                 break
-        if len(self.fits) > 4 * REMEMBERED:
+        if len(self.fits) >= REMEMBERED:
             self.fits.clear()
         self.fits[key] = out
         return out
@@ -152,6 +152,11 @@ class Encoder:
         ids = self.v.ids
         return array("I", [ids[t] for t in tokens]).tobytes()
 
+    def forget(self) -> None:
+        """Give back what was remembered; the worker may go on with other work."""
+        self.known.clear()
+        self.fits.clear()
+
     def plain(self, text: str) -> bytes:
         known, out = self.known, []
         for piece in self.pattern.findall(text):
@@ -206,6 +211,7 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary) ->
         for batch in c.bounded_batches(batches, c.text_sizes(1)):
             ids = [worker.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        worker.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 

@@ -1,7 +1,7 @@
 """Shared ground: the shared working folder, packed documents, packed exchanges.
 
-Documents are read once and kept as *packs*: compressed Arrow batches of a few
-MB of text, in a table bucketed by pack id.  Later passes join small replies to
+Documents are read once and kept as *packs*: compressed Arrow batches of about
+2 MB of text, in a table bucketed by pack id.  Later passes join small replies to
 the packs without moving the text again.  What packs exchange goes as blobs of
 sorted hashes, one row for each (pack, bucket), so that Spark moves few rows and
 numpy does the comparing.
@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-PACK_BYTES, PACK_ROWS = 4 << 20, 1 << 16
+PACK_BYTES, PACK_ROWS = 2 << 20, 1 << 16
 #: Entries of an exchange that one bucket should get.
 BUCKET_ENTRIES = 1 << 17
 LEAST_BUCKET_BITS = 10
