@@ -54,7 +54,19 @@ def _by_language(table: pa.Table) -> Iterator[tuple[str | None, np.ndarray, np.n
 
 
 def _bucket_of(codes: np.ndarray) -> np.ndarray:
-    return (c.mix(codes.astype(np.uint64)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    """By all but the last two bytes, so that neighbours, whose differences are small, stay together."""
+    return (c.mix((codes >> 16).astype(np.uint64)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers compressed byte by byte: first all lowest bytes, then the next."""
+    width = values.dtype.itemsize
+    return c.squeeze(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(c.unsqueeze(raw), np.uint8).reshape(width, -1).T.copy().view(kind).reshape(-1)
 
 
 def _in_buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,13 +95,13 @@ def _entries(packs: DataFrame, trusted: DataFrame) -> DataFrame:
                     order, buckets, at = _in_buckets(distinct)
                     distinct, counts = distinct[order], counts[order]
                     parts = list(zip(at, at[1:], strict=False))
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([row["pack_id"]] * len(buckets), pa.int64()), pa.array([lang] * len(buckets), pa.string()), pa.array([c.squeeze(np.diff(distinct[i:j], prepend=0).tobytes()) for i, j in parts], pa.binary()), pa.array([c.squeeze(counts[i:j].tobytes()) for i, j in parts], pa.binary())], schema=_ENTRY_ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([row["pack_id"]] * len(buckets), pa.int64()), pa.array([lang] * len(buckets), pa.string()), pa.array([_planes(np.diff(distinct[i:j], prepend=0)) for i, j in parts], pa.binary()), pa.array([_planes(counts[i:j]) for i, j in parts], pa.binary())], schema=_ENTRY_ARROW)
 
     return c.with_replies(packs, {"trusted": trusted}).mapInArrow(send, _ENTRY)
 
 
 def _read_codes(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(c.unsqueeze(raw), np.int64))
+    return np.cumsum(_from_planes(raw, np.int64))
 
 
 def _distinct(entries: DataFrame) -> DataFrame:
@@ -100,7 +112,7 @@ def _distinct(entries: DataFrame) -> DataFrame:
         for lang in sorted(set(langs), key=lambda x: (x is None, x or "")):
             own = table.filter(pa.array([x == lang for x in langs]))
             codes = np.concatenate([_read_codes(x.as_py()) for x in own.column("codes")])
-            counts = np.concatenate([np.frombuffer(c.unsqueeze(x.as_py()), np.uint32) for x in own.column("counts")])
+            counts = np.concatenate([_from_planes(x.as_py(), np.uint32) for x in own.column("counts")])
             distinct, inverse = np.unique(codes, return_inverse=True)
             out["lang"].append(pa.array([lang] * len(distinct), pa.string()))
             out["gram"].append(pa.array(distinct))
@@ -165,7 +177,7 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, ws: c.
         masks = []
         for raw, lang in zip(asked.column("codes"), asked.column("lang").to_pylist(), strict=True):
             have, step = of[lang]
-            masks.append(c.squeeze(step[np.searchsorted(have, _read_codes(raw.as_py()))].tobytes()))
+            masks.append(_planes(step[np.searchsorted(have, _read_codes(raw.as_py()))]))
         return pa.table({"bucket": asked.column("bucket"), "pack_id": asked.column("pack_id"), "lang": asked.column("lang"), "mask": pa.array(masks, pa.binary())})
 
     told = model.select("lang", "bucket", "gram", "p")
@@ -184,7 +196,7 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, ws: c.
                     order, buckets, _ = _in_buckets(distinct)
                     value = np.empty(len(distinct))
                     if len(distinct):
-                        value[order] = np.concatenate([np.frombuffer(c.unsqueeze(steps[lang, b]), np.uint16) for b in buckets.tolist()])
+                        value[order] = np.concatenate([_from_planes(steps[lang, b], np.uint16) for b in buckets.tolist()])
                     total[rows] = np.bincount(place, value[inverse], minlength=len(rows)) * _STEP
                     n_bytes[rows] = np.bincount(place, minlength=len(rows))
                 with np.errstate(divide="ignore", invalid="ignore"):
