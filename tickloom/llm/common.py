@@ -48,8 +48,8 @@ class Workspace:
         self.path = f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
         self.tables: list[str] = []
         _OPEN.append((spark, self.path, self.tables))
-        # bounds what a Python worker is handed at once
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        # bounds what a Python worker is handed at once, and the buffers for it on both sides
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """df, written as Parquet and read back; cuts the lineage."""

@@ -33,7 +33,7 @@ REST = LENGTH - CORE * SYMBOL
 _BASE, _SEED, _LARGEST = 0xCA5A826395121157, 31, np.uint64(0x8CB92BA72F3D8DD7)
 _PIECE = ((32, 0x9FB21C651E98DF25), (33, 0xA24BAED4963EE407))
 #: Bytes hashed at once, and the bits of a place among them.
-_SPAN, _PLACE = 1 << 20, np.uint64(21)
+_SPAN, _PLACE = 1 << 19, np.uint64(20)
 #: Text bytes of the corpus for each shard, and the symbols that are sorted at once.
 SHARD_BYTES, SORTED = 1 << 18, 1 << 16
 
