@@ -226,6 +226,12 @@ def tick_features(ticks: DataFrame, names: Sequence[str] | None = None) -> DataF
     return out.selectExpr("symbol", "seq", "time_ms", *(f"{FEATURES[w]} AS f_{w}" for w in wanted))
 
 
+def drawdown(ticks: DataFrame, n: int = 128) -> DataFrame:
+    """f_mdd_<n>: largest fall of the mid from its peak, over the peak, within the last n ticks."""
+    fold = "aggregate(w, named_struct('peak', -1e18D, 'fall', 0D), (a, m) -> named_struct('peak', greatest(a.peak, m), 'fall', greatest(a.fall, (greatest(a.peak, m) - m) / (greatest(a.peak, m) + 1e-9D))), a -> a.fall)"
+    return ticks.selectExpr("symbol", "seq", "time_ms", f"collect_list(mid) {_rows(n)} AS w").selectExpr("symbol", "seq", "time_ms", f"{fold} AS f_mdd_{n}")
+
+
 def features_sql(source: str, names: Sequence[str] | None = None, digits: int = 5) -> str:
     """The same as SQL over a relation of ticks, values rounded."""
     wanted, steps, last = list(names or FEATURES), [], source

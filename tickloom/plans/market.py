@@ -55,6 +55,13 @@ for _name, _names in GROUPS.items():
     _feature_query(_name, _names)
 
 
+@query(rounded_sql(f"""WITH {TICKS}, w AS (SELECT symbol, seq, time_ms, list(mid) OVER (PARTITION BY symbol ORDER BY time_ms, seq ROWS 127 PRECEDING) AS l FROM ticks)
+SELECT symbol, seq, time_ms, list_max(list_transform(l, lambda x, i: (list_max(l[1:i]) - x) / (list_max(l[1:i]) + 1e-9))) AS f_mdd_128 FROM w""", "f_mdd_128"))
+def features_drawdown(spark, sf_dir):
+    """Largest relative fall within 128 ticks."""
+    return rounded(features.drawdown(ticks_of(spark, sf_dir)))
+
+
 @query()
 def features_recursive(spark, sf_dir):
     """Exponential means and crosses, Wilder's RSI, volume clock."""

@@ -1 +1 @@
-
+"""Structured Streaming over tick files."""
