@@ -121,7 +121,7 @@ def pack_documents(ws: Workspace, docs: DataFrame, keep: tuple[str, ...] = ()) -
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n = TaskContext.get().partitionId() << 24, 0
-        codec = pa.ipc.IpcWriteOptions(compression="zstd")
+        codec = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         held: list[pa.RecordBatch] = []
         held_bytes = 0
 

@@ -137,7 +137,7 @@ def _same(a: str, b: str) -> Column:
 
 
 def _probabilities(ws: c.Workspace, grams: DataFrame) -> DataFrame:
-    """lang, gram and log-probability of the last byte after the others, for every n-gram of the corpus.
+    """lang, bucket, gram and probability of the last byte after the others, for every n-gram of the corpus.
 
     Orders from 1 on: p(w | h) = (n(hw) - D(n)) / n(h) + g(h) p(w | h'), where n
     counts occurrences for the highest order and, below it, the bytes seen before.
@@ -148,7 +148,8 @@ def _probabilities(ws: c.Workspace, grams: DataFrame) -> DataFrame:
         counts[k] = ws.table(counts[k + 1].groupBy("lang", shorter.alias("gram")).agg(F.sum((F.col("n") > 0).cast("long")).alias("n")), f"counts_{k}")
     below: DataFrame | None = None
     for k in range(1, ORDER + 1):
-        own = counts[k].select("lang", "gram", "n").withColumn("context", F.shiftright("gram", 8))
+        kept = ["bucket"] if k == ORDER else []
+        own = counts[k].select("lang", "gram", "n", *kept).withColumn("context", F.shiftright("gram", 8))
         own = own.join(F.broadcast(_discounts(counts[k]).withColumnRenamed("lang", "_lang")), _same("lang", "_lang"), "left").drop("_lang")  # a row for each language
         taken = F.when(F.col("n") >= 3, F.col("d3")).when(F.col("n") == 2, F.col("d2")).when(F.col("n") == 1, F.col("d1")).otherwise(0.0)
         contexts = own.groupBy(F.col("lang").alias("_lang"), F.col("context").alias("_context")).agg(F.sum("n").alias("all"), F.sum(taken).alias("freed"))
@@ -159,7 +160,7 @@ def _probabilities(ws: c.Workspace, grams: DataFrame) -> DataFrame:
             last = below.select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), F.col("p").alias("low"))
             own = own.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(last, _same("lang", "_lang") & (F.col("short") == F.col("_gram"))).drop("_lang", "_gram", "short")
         p = F.when(F.col("all") > 0, (F.col("n") - F.col("taken")) / F.col("all") + F.col("freed") / F.col("all") * F.col("low")).otherwise(F.col("low"))
-        below = ws.table(own.select("lang", "gram", p.alias("p")), f"model_{k}")
+        below = ws.table(own.select("lang", "gram", p.alias("p"), *kept), f"model_{k}")
     return below
 
 
@@ -247,8 +248,7 @@ def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: floa
 
     entries = ws.bucketed(_entries(packs, learn), "ngrams", "bucket", gather=True)
     grams = ws.table(_distinct(entries), "grams")
-    model = _probabilities(ws, grams).withColumnRenamed("lang", "_lang").withColumnRenamed("gram", "_gram")
-    model = grams.join(model, _same("lang", "_lang") & (F.col("gram") == F.col("_gram"))).select("lang", "bucket", "gram", "p")
+    model = _probabilities(ws, grams)
     scores = ws.table(_perplexities(packs, entries, model, ws), "scores")
     # short texts say little: so many bytes of a usual text are added to each
     kept_out = ws.table(scores.filter("n_bytes > 0").join(places.filter("held").select("pack_id", "row"), ["pack_id", "row"]).select("lang", "n_bytes", F.log("perplexity").alias("loss")), "kept_out")
