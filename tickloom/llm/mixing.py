@@ -119,9 +119,10 @@ def mix(spark: SparkSession, docs: DataFrame, sources: Column, size: Column, wei
     """What a mix takes of each document.
 
     docs needs doc_id; `sources` gives the array of a document's sources (null and
-    empty: the one source null) and `size` its words.  Other columns of docs stay, so
-    none may be called pattern, size, taken, taken_by or about.  The size of a source is that
-    of all documents that belong to it; targets() says what is wanted of each.
+    empty: the one source null) and `size` its words.  Other columns of docs stay,
+    unless they are called like an added one, which then takes their place.  The size of
+    a source is that of all documents that belong to it; targets() says what is wanted
+    of each.
 
     Adds pattern, size, taken (words taken, repeats counted) and taken_by (array of
     struct<source, words>, what each source gets of the document) and about (array of
@@ -138,7 +139,7 @@ def mix(spark: SparkSession, docs: DataFrame, sources: Column, size: Column, wei
     """
     ws = c.Workspace(spark)
     named = F.when(F.size(F.coalesce(sources, F.array())) > 0, F.array_sort(F.array_distinct(sources))).otherwise(F.array(F.lit(None).cast("string")))
-    rows = docs.withColumns({"pattern": F.to_json(named), "size": size.cast("long"), "_members": named})
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_doc"), F.col("doc_id"), F.to_json(named).alias("pattern"), size.cast("long").alias("size"), named.alias("_members"))
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id"))
     n = rows.count()
     bits = max(8, math.ceil(math.log2(max(1, n / BUCKET_DOCS))))
@@ -190,7 +191,8 @@ def mix(spark: SparkSession, docs: DataFrame, sources: Column, size: Column, wei
     # in whole documents, the middle decides, so that parts that adjoin never share one
     by = F.filter(F.transform("parts", lambda p: F.struct(p["source"].alias("source"), overlap(p["start"], p["stop"]).alias("words"))), lambda p: p["words"] > 0)
     rows = rows.withColumns({"taken": overlap(zero, F.col("flow")), "taken_by": by})
-    return rows.drop("_members", "_order", "_bucket", "_inside", "_before", "_at", "pattern_size", "flow", "parts")
+    added = ["pattern", "size", "taken", "taken_by", "about"]
+    return rows.select(*[F.col(f"_doc.`{x}`") for x in docs.columns if x not in added], *added)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, weights: Sequence[float], share: float = 1.5, repeats: int = 2, seed: int = 0) -> DataFrame:
