@@ -190,11 +190,12 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> bytes:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def bpe_encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def bpe_encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> DataFrame:
     """Token ids of every whole text.
 
     docs needs doc_id and text; other columns are left out, whatever their names.
-    Returns doc_id and ids, the ids as little-endian unsigned 32-bit integers.
+    Returns doc_id and ids, the ids as little-endian unsigned 32-bit integers, and if
+    asked `decoded`, what bpe_decode() makes of them, without a second Python process.
     Special tokens of the vocabulary that occur in a text are their own ids; none
     is added.  Null and empty text give no ids; a null doc_id and repeated rows
     stay as they are; an empty table gives no rows.  Narrow: rows stay where they are.
@@ -210,10 +211,17 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary) ->
         worker = _ENCODERS[key]
         for batch in c.bounded_batches(batches, c.text_sizes(1)):
             ids = [worker.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            out = {"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                out["decoded"] = pa.array([_decoded(worker.v, x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
         worker.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary" + ", decoded string" * decoded)
+
+
+def _decoded(vocabulary: Vocabulary, ids: bytes) -> str:
+    return decode_ids(vocabulary, np.frombuffer(ids, "<u4").astype(np.int64)).decode(errors="replace")
 
 
 def bpe_decode(spark: SparkSession, encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -227,7 +235,7 @@ def bpe_decode(spark: SparkSession, encoded: DataFrame, vocabulary: Vocabulary)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.bounded_batches(batches, c.text_sizes(1)):
-            texts = [decode_ids(shared.value, np.frombuffer(x.as_buffer() if x.is_valid else b"", "<u4").astype(np.int64)).decode(errors="replace") for x in batch.column(1)]
+            texts = [_decoded(shared.value, x.as_py() or b"") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded string")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import Vocabulary, bpe_decode, bpe_encode
+from .bpe import Vocabulary, bpe_encode
 from .chat_format import chat_format, read_loss, read_turns, text_part
 from .jaccard_join import jaccard_join
 from .mixing import mix, word_count
@@ -29,7 +29,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    decoded = bpe_decode(spark, bpe_encode(spark, read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    decoded = bpe_encode(spark, read(spark, sf_dir, "documents"), vocabulary, decoded=True)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -50,6 +50,8 @@ class Workspace:
         _OPEN.append((spark, self.path, self.tables))
         # bounds what a Python worker is handed at once, and the buffers for it on both sides
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+        # the tables of large rows are ORC, whose reader then holds few of them at once
+        spark.conf.set("spark.sql.orc.columnarReaderBatchSize", "8")
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """df, written as Parquet and read back; cuts the lineage."""
@@ -65,7 +67,7 @@ class Workspace:
         table = f"tickloom_{name}_{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(n, key) if gather else df
-        df.write.format("parquet").bucketBy(n, key).option("compression", "uncompressed").option("path", f"{self.path}/{table}").saveAsTable(table)
+        df.write.format("orc").bucketBy(n, key).option("compression", "none").option("path", f"{self.path}/{table}").saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 
