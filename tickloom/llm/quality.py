@@ -25,7 +25,7 @@ ORDER = 5
 #: Stands before the first byte of a text; does not occur in UTF-8.
 _START = 0xFF
 #: Log-probabilities travel as steps of this size.
-_STEP = 1.0 / 2048
+_STEP = 1.0 / 512
 BUCKET_BITS = 8
 #: Bytes of median text by which perplexities are steadied; accuracy of the quantiles.
 USUAL_BYTES, _EXACT = 64, 100_000
@@ -164,7 +164,7 @@ def _probabilities(ws: c.Workspace, grams: DataFrame) -> DataFrame:
     return below
 
 
-def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, ws: c.Workspace) -> DataFrame:
+def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame) -> DataFrame:
     """pack_id, row, doc_id, lang, n_bytes, perplexity of every document."""
 
     def answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -182,7 +182,7 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, ws: c.
         return pa.table({"bucket": asked.column("bucket"), "pack_id": asked.column("pack_id"), "lang": asked.column("lang"), "mask": pa.array(masks, pa.binary())})
 
     told = model.select("lang", "bucket", "gram", "p")
-    replies = ws.table(entries.select("bucket", "pack_id", "lang", "codes").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(answer, "bucket long, pack_id long, lang string, mask binary"), "log_probabilities")
+    replies = entries.select("bucket", "pack_id", "lang", "codes").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(answer, "bucket long, pack_id long, lang string, mask binary")
     by_pack = replies.groupBy("pack_id").agg(F.collect_list(F.struct("lang", "bucket", "mask")).alias("steps"))
     asked = packs.select("pack_id", "pack").join(by_pack.hint("shuffle_hash"), "pack_id", "left")
 
@@ -249,7 +249,7 @@ def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: floa
     entries = ws.bucketed(_entries(packs, learn), "ngrams", "bucket", gather=True)
     grams = ws.table(_distinct(entries), "grams")
     model = _probabilities(ws, grams)
-    scores = ws.table(_perplexities(packs, entries, model, ws), "scores")
+    scores = ws.table(_perplexities(packs, entries, model), "scores")
     # short texts say little: so many bytes of a usual text are added to each
     kept_out = ws.table(scores.filter("n_bytes > 0").join(places.filter("held").select("pack_id", "row"), ["pack_id", "row"]).select("lang", "n_bytes", F.log("perplexity").alias("loss")), "kept_out")
     usual = kept_out.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("loss", 0.5, _EXACT).alias("usual"))
