@@ -93,17 +93,22 @@ def trade_target(ticks: DataFrame, horizon: int) -> DataFrame:
     return out.withColumns({"side": F.when(F.greatest("long_mfe", "short_mfe") <= 0, 0).when(F.col("long_mfe") >= F.col("short_mfe"), 1).otherwise(-1), "reward_to_risk": F.greatest("long_mfe", "short_mfe") / F.when(F.col("long_mfe") >= F.col("short_mfe"), F.col("long_mae")).otherwise(F.col("short_mae"))}).select("symbol", "seq", "time_ms", "long_mfe", "short_mfe", "long_mae", "short_mae", "side", "reward_to_risk")
 
 
-def stop_target_exit(rows: DataFrame, direction: Column, stop: Column, target: Column, hold: int, order: Window) -> DataFrame:
-    """pnl of entering at close by direction, out at stop or target, whichever a later close passes first, else at the hold.
+def with_path(rows: DataFrame, hold: int, order: Window) -> DataFrame:
+    """_path: the closes of the next `hold` rows; rows without any go.  The hold is short, so a path fits in a row."""
+    return rows.withColumn("_path", F.collect_list("close").over(order.rowsBetween(1, hold))).filter(F.size("_path") > 0)
 
-    The hold is short, so a row's path is one array over a forward frame.
-    """
-    path = F.collect_list("close").over(order.rowsBetween(1, hold))
-    out = rows.withColumns({"_d": direction, "_path": path, "_stop": stop, "_target": target}).filter((F.col("_d") != 0) & (F.size("_path") > 0))
-    moves = F.transform("_path", lambda x: (x - F.col("close")) * F.col("_d"))
-    out = out.withColumn("_first", F.try_element_at(F.filter(moves, lambda m: (m >= F.col("_target")) | (m <= -F.col("_stop"))), F.lit(1))).withColumn("_last", F.element_at(moves, -1))
-    pnl = F.when(F.col("_first") >= F.col("_target"), F.col("_target")).when(F.col("_first").isNotNull(), -F.col("_stop")).otherwise(F.col("_last"))
-    return out.withColumns({"direction": F.col("_d"), "pnl": pnl}).drop("_d", "_path", "_stop", "_target", "_first", "_last")
+
+def exit_pnl(direction: Column, stop: Column, target: Column) -> Column:
+    """pnl of entering at close by direction, out at stop or target, whichever a close of _path passes first, else at its end."""
+    moves = F.transform("_path", lambda x: (x - F.col("close")) * direction)
+    first = F.try_element_at(F.filter(moves, lambda m: (m >= target) | (m <= -stop)), F.lit(1))
+    return F.when(first >= target, target).when(first.isNotNull(), -stop).otherwise(F.element_at(moves, -1))
+
+
+def stop_target_exit(rows: DataFrame, direction: Column, stop: Column, target: Column, hold: int, order: Window) -> DataFrame:
+    """direction and pnl of every row that enters, under with_path() and exit_pnl()."""
+    out = with_path(rows, hold, order).withColumn("direction", direction).filter("direction != 0")
+    return out.withColumn("pnl", exit_pnl(F.col("direction"), stop, target)).drop("_path")
 
 
 def window_summary(ticks: DataFrame, columns: tuple[str, ...], window: int, stride: int, recent: tuple[int, int] = (64, 16)) -> DataFrame:

@@ -154,15 +154,15 @@ def monthly_means(spark, sf_dir):
     return rounded(daily.groupBy("symbol", month.alias("month")).agg(F.avg("close").alias("price"), F.count("*").alias("days")))
 
 
-@query(rounded_sql("""WITH d AS (SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS day, sum(l_extendedprice * (0.05 - l_discount)) AS pnl FROM lineitem WHERE l_suppkey = 7 GROUP BY ALL),
+@query(rounded_sql("""WITH d AS (SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS day, sum(l_extendedprice * (0.05 - l_discount)) AS pnl FROM lineitem GROUP BY ALL),
 s AS (SELECT symbol, unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS at FROM d GROUP BY symbol),
 f AS (SELECT s.symbol, CAST(s.at AS DATE) AS day, coalesce(d.pnl, 0.0) AS pnl FROM s LEFT JOIN d ON d.symbol = s.symbol AND d.day = CAST(s.at AS DATE))
-SELECT symbol, CAST(datediff('day', DATE '1970-01-01', day) // 7 AS BIGINT) AS week, sum(pnl) AS pnl, count(*) AS days FROM f GROUP BY ALL""", "pnl", 4))
+SELECT symbol, CAST(datediff('day', DATE '1970-01-01', day) // 7 AS BIGINT) AS week, sum(pnl) AS pnl, count(*) AS days FROM f GROUP BY ALL""", "pnl", 3))
 def weekly_filled(spark, sf_dir):
     """Daily results with empty days as zero, by seven-day buckets."""
-    d = table(spark, sf_dir, "lineitem").filter("l_suppkey = 7").groupBy(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(F.sum(F.col("l_extendedprice") * (0.05 - F.col("l_discount"))).alias("pnl"))
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(F.sum(F.col("l_extendedprice") * (0.05 - F.col("l_discount"))).alias("pnl"))
     filled = b.calendar_filled(d, "day", "pnl", "symbol")
-    return rounded(filled.groupBy("symbol", F.floor(F.unix_date("day") / 7).cast("long").alias("week")).agg(F.sum("pnl").alias("pnl"), F.count("*").alias("days")), 4)
+    return rounded(filled.groupBy("symbol", F.floor(F.unix_date("day") / 7).cast("long").alias("week")).agg(F.sum("pnl").alias("pnl"), F.count("*").alias("days")), 3)
 
 
 @query()
@@ -368,13 +368,13 @@ def hypothesis_families(spark, sf_dir):
     x = indicators.bar_features(b.bars(ticks_of(spark, sf_dir), HOUR))
     names = [c for c in x.columns if c.startswith("x_")]
     z = normalize.standardised(x, names, normalize.prefix_stats(x, names, F.lit(True)))
-    stop = F.greatest(F.col("spread"), F.lit(0.0)) * 2 + 0.08
-    out = None
-    for name in indicators.FAMILIES:
-        trades = labels.stop_target_exit(z, indicators.family_direction(name, 0.3, 0.3), stop, stop * 1.5, 24, indicators.order())
-        own = trades.groupBy(F.lit(name).alias("family")).agg(F.count("*").alias("trades"), F.round(F.sum(F.col("pnl") - F.col("spread")), 6).alias("pnl"))
-        out = own if out is None else out.union(own)
-    return out
+    # dealt anew by symbol, as the paths below need it, so that the features aren't written out again in every family
+    z = z.repartition("symbol")
+    sides = F.array(*[F.struct(F.lit(n).alias("family"), indicators.family_direction(n, 0.3, 0.3).alias("direction")) for n in indicators.FAMILIES])
+    paths = labels.with_path(z.select("symbol", "bucket_ms", "close", "spread", F.filter(sides, lambda x: x["direction"] != 0).alias("sides")), 24, indicators.order())
+    trades = paths.withColumn("_s", F.explode("sides")).withColumns({"family": F.col("_s.family"), "direction": F.col("_s.direction"), "_stop": F.greatest(F.col("spread"), F.lit(0.0)) * 2 + 0.08})
+    pnl = labels.exit_pnl(F.col("direction"), F.col("_stop"), F.col("_stop") * 1.5) - F.col("spread")
+    return trades.groupBy("family").agg(F.count("*").alias("trades"), F.round(F.sum(pnl), 6).alias("pnl"))
 
 
 @query(rounded_sql(f"""WITH {TICKS}, {bars_sql(HOUR)}, p AS (SELECT symbol, bucket_ms, CASE WHEN count(*) OVER a = 7 AND high >= max(high) OVER a THEN high END AS h, CASE WHEN count(*) OVER a = 7 AND low <= min(low) OVER a THEN low END AS l, close FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY bucket_ms ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tickloom.functions import columns as c
 from tickloom.operators import bars as b
@@ -63,11 +63,11 @@ def price_scales(spark, sf_dir):
     return names.select("n_name", files.price_scale(F.col("n_name")).alias("scale"))
 
 
-@query(rounded_sql(f"""WITH {TICKS}, r AS (SELECT (time_ms // 3600000) * 3600000 AS hour_ms, round(ask * 1e6) / 1e6 AS ask, round(bid * 1e6) / 1e6 AS bid FROM ticks WHERE seq % 7 <> 0)
+@query(rounded_sql(f"""WITH {TICKS}, r AS (SELECT (time_ms // 3600000) * 3600000 AS hour_ms, round(ask * 1e6) / 1e6 AS ask, round(bid * 1e6) / 1e6 AS bid FROM ticks)
 SELECT hour_ms, count(*) AS ticks, max(ask) AS ask, min(bid) AS bid FROM r GROUP BY hour_ms""", "ask bid", 4))
 def archive_round_trip(spark, sf_dir):
     """Ticks written as hourly LZMA archives and read back."""
-    back = files.read_archives(files.write_archives(t.ticks(spark, sf_dir).filter('seq % 7 != 0'), 1e6), 1e6)
+    back = files.read_archives(files.write_archives(t.ticks(spark, sf_dir), 1e6), 1e6)
     return rounded(back.groupBy("hour_ms").agg(F.count("*").alias("ticks"), F.max("ask").alias("ask"), F.min("bid").alias("bid")), 4)
 
 
@@ -199,12 +199,13 @@ def fold_slice(spark, sf_dir):
     return li.filter((F.col("l_discount") == 0.0) & F.col("l_tax").isNotNull()).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {TICKS}, q AS (SELECT symbol, quantile_cont(ask - bid, 0.6) AS cut FROM ticks WHERE seq % 2 = 0 GROUP BY symbol)
+@query(f"""WITH {TICKS}, p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time_ms, seq) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM ticks), q AS (SELECT symbol, quantile_cont(ask - bid, 0.6) AS cut FROM p WHERE k * 2 <= n GROUP BY symbol)
 SELECT t.symbol, count(*) AS kept, min(t.seq) AS first_seq FROM ticks t JOIN q ON t.symbol = q.symbol WHERE t.ask - t.bid <= q.cut GROUP BY t.symbol""")
 def regime_quantile_filter(spark, sf_dir):
-    """Ticks whose spread is at or below the 0.6 quantile fitted on every other tick."""
+    """Ticks whose spread is at or below the 0.6 quantile fitted on the first half."""
     d = t.ticks(spark, sf_dir).withColumn("spread", F.col("ask") - F.col("bid"))
-    cut = d.filter(F.col("seq") % 2 == 0).groupBy("symbol").agg(F.percentile("spread", 0.6).alias("cut"))
+    first = d.withColumns({"k": F.row_number().over(t.by_symbol()), "n": F.count("*").over(Window.partitionBy("symbol"))}).filter("k * 2 <= n")
+    cut = first.groupBy("symbol").agg(F.percentile("spread", 0.6).alias("cut"))
     return d.join(cut, "symbol").filter(F.col("spread") <= F.col("cut")).groupBy("symbol").agg(F.count("*").alias("kept"), F.min("seq").alias("first_seq"))
 
 
@@ -315,11 +316,10 @@ def verification_overrides(spark, sf_dir):
     return joins.overridden(o, [first, second], "k", "v")
 
 
-@query("""WITH r AS (SELECT l_orderkey % 500 AS source_group, l_partkey AS p FROM lineitem), a AS (SELECT l_orderkey AS archive_id, l_partkey AS p FROM lineitem WHERE l_orderkey % 997 = 0)
+@query("""WITH r AS (SELECT l_orderkey AS source_group, l_partkey AS p FROM lineitem), a AS (SELECT CAST(p_size AS BIGINT) AS archive_id, p_partkey AS p FROM part)
 SELECT source_group, count(*) AS matches, min(archive_id) AS archive_id FROM r JOIN a USING (p) GROUP BY source_group HAVING count(DISTINCT archive_id) = 1""")
 def fingerprint_matches(spark, sf_dir):
-    """Groups that meet exactly one archive by the parts in it."""
-    li = table(spark, sf_dir, "lineitem")
-    r = li.select((F.col("l_orderkey") % 500).alias("source_group"), F.col("l_partkey").alias("p"))
-    a = li.filter("l_orderkey % 997 = 0").select(F.col("l_orderkey").alias("archive_id"), F.col("l_partkey").alias("p"))
+    """Orders whose lines all meet one archive: the size of their parts."""
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_group"), F.col("l_partkey").alias("p"))
+    a = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("archive_id"), F.col("p_partkey").alias("p"))
     return joins.unique_matches(r, a, ["p"], "source_group")
