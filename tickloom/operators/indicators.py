@@ -140,6 +140,38 @@ def cross_features(panel: DataFrame, leader: str, target: str, n: int, vol: int
     return out.withColumns({"volz": z("raw", "_ls"), "divergence": z("raw", "_ls") - z("_tm", "_ts"), "momentum_ratio": F.col("raw") / F.nullif(F.abs("_tm"), F.lit(0.0))}).drop("_l", "_t", "_tm", "_ls", "_ts")
 
 
+def self_features(bars: DataFrame, n: int, vol: int = 48) -> DataFrame:
+    """A symbol's own momentum over its volatility (also in liquid hours only), its ratio to the one before, and RSI over n closes.
+
+    RSI is by plain sums of gains and losses, so it stays a window expression.
+    """
+    w = order()
+    out = bars.withColumn("_s", F.log("close") - F.log(F.lag("close").over(w)))
+    over, before = w.rowsBetween(-n, -1), w.rowsBetween(-vol, -1)
+    full = lambda over, k: F.count("_s").over(over) == k
+    mom = F.when(full(over, n), F.sum("_s").over(over))
+    sd = F.when(full(before, vol), F.stddev_samp("_s").over(before))
+    out = out.withColumns({"raw": mom, "_sd": sd, "_up": F.sum(F.greatest("_s", F.lit(0.0))).over(over), "_down": F.sum(F.greatest(-F.col("_s"), F.lit(0.0))).over(over)})
+    hour = utc_hour(F.col("bucket_ms"))
+    volz = F.col("raw") / F.nullif(F.col("_sd") * (n**0.5), F.lit(0.0))
+    out = out.withColumns({"volz": volz, "session_volz": F.when((hour >= 7) & (hour < 17), volz), "ratio": F.col("raw") / F.nullif(F.abs(F.lag("raw", n).over(w)), F.lit(0.0)), "rsi": F.col("_up") / F.nullif(F.col("_up") + F.col("_down"), F.lit(0.0))})
+    return out.select("symbol", "bucket_ms", "raw", "volz", "session_volz", "ratio", "rsi")
+
+
+def ew_spread_z(panel: DataFrame, a: str, b: str, span: int) -> DataFrame:
+    """z of the log price ratio of two closes by exponential mean and deviation (recursive: a symbol is one group)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("bucket_ms")
+        x = pd.Series(np.log(df[a].to_numpy(float) / df[b].to_numpy(float)))
+        ew = x.ewm(span=span, adjust=False, min_periods=max(2, span // 2))
+        return pd.DataFrame({"symbol": df.symbol.to_numpy(), "bucket_ms": df.bucket_ms.to_numpy(), "ew_z": ((x - ew.mean()) / ew.std().where(lambda s: s > 0)).to_numpy()})
+
+    return panel.select("symbol", "bucket_ms", a, b).groupBy("symbol").applyInPandas(run, "symbol string, bucket_ms long, ew_z double")
+
+
 # --- chart signals ---------------------------------------------------------------------------
 
 

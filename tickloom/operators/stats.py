@@ -251,6 +251,21 @@ def huber(error: Column, delta: float = 1.0) -> Column:
     return F.when(F.abs(error) <= delta, 0.5 * error * error).otherwise(delta * (F.abs(error) - 0.5 * delta))
 
 
+def triplet(near: Column, far: Column, margin: float = 1.0) -> Column:
+    return F.greatest(F.lit(0.0), near - far + margin)
+
+
+def trader_loss(call: Column, profit: Column, cost: Column, wrong: float = 3.0, missed: float = 0.1) -> Column:
+    """Loss of a call (1, -1, 0) whose side would have earned profit: losses count `wrong` times, a missed profit a little."""
+    net = F.abs(call) * (profit - cost)
+    return F.when(call == 0, missed * F.greatest(profit - cost, F.lit(0.0))).when(net < 0, -wrong * net).otherwise(-net)
+
+
+def sharpe_loss(pnl: str) -> Column:
+    sd = F.stddev_samp(pnl)
+    return -F.coalesce(F.avg(pnl) / F.nullif(sd, F.lit(0.0)), F.lit(0.0))
+
+
 def environment_penalty(rows: DataFrame, env: str, gradient: Column) -> DataFrame:
     """Sum over environments of the squared mean gradient."""
     return rows.groupBy(env).agg(F.avg(gradient).alias("_g")).agg(F.sum(F.col("_g") * F.col("_g")).alias("penalty"))

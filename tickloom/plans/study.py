@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.functions.columns import normal_cdf, normal_ppf
-from tickloom.operators import joins, resample, scoring, search, stats
+from tickloom.operators import joins, resample, scoring, search, simulate, stats
 from tickloom.operators import bars as b
 from tickloom.plans.ledger import HOLD, PREDICTIONS, SIGNALS, TRADES, ledger, predictions, signals
 from tickloom.plans.market import HORIZON, HOUR, SAMPLES, WINDOW, samples_of, ticks_of
@@ -408,3 +408,92 @@ def normal_functions(spark, sf_dir):
     return rounded(d.select("p", normal_ppf(F.col("p")).alias("z"), normal_cdf(normal_ppf(F.col("p"))).alias("back")))
 
 
+
+
+# --- controls and studies --------------------------------------------------------------------
+
+
+@query(rounded_sql(f"""WITH {PREDICTIONS}, d AS (SELECT CASE WHEN p_up >= p_neutral AND p_up >= p_down THEN 1 WHEN p_neutral >= p_down THEN 0 ELSE -1 END AS call, ret, cost, p_up, p_down FROM predictions), l AS (SELECT *, CASE WHEN call = 0 THEN abs(ret) ELSE call * ret END AS profit FROM d)
+SELECT avg(CASE WHEN call = 0 THEN 0.1 * greatest(profit - cost, 0.0) WHEN profit - cost < 0 THEN -3.0 * (profit - cost) ELSE -(profit - cost) END) AS trader, -avg(call * ret - cost) / stddev_samp(call * ret - cost) AS sharpe, avg(greatest(0.0, p_up - p_down + 1.0)) AS triplet FROM l""", "trader sharpe triplet"))
+def trading_losses(spark, sf_dir):
+    """Profit-based loss, Sharpe loss and triplet loss."""
+    p = predictions(spark, sf_dir)
+    call = F.when((F.col("p_up") >= F.col("p_neutral")) & (F.col("p_up") >= F.col("p_down")), 1).when(F.col("p_neutral") >= F.col("p_down"), 0).otherwise(-1)
+    d = p.withColumn("call", call).withColumns({"profit": F.when(F.col("call") == 0, F.abs("ret")).otherwise(F.col("call") * F.col("ret")), "net": F.col("call") * F.col("ret") - F.col("cost")})
+    return rounded(d.agg(F.avg(stats.trader_loss(F.col("call"), F.col("profit"), F.col("cost"))).alias("trader"), stats.sharpe_loss("net").alias("sharpe"), F.avg(stats.triplet(F.col("p_up"), F.col("p_down"))).alias("triplet")))
+
+
+@query(rounded_sql(f"""WITH {TICKS}, {SIGNALS}, x AS (SELECT symbol, signal, spread, latency, CASE latency WHEN 0 THEN close WHEN 1 THEN lead(close, 1) OVER w WHEN 2 THEN lead(close, 2) OVER w ELSE lead(close, 3) OVER w END AS entry, CASE latency WHEN 0 THEN lead(close, {HOLD}) OVER w WHEN 1 THEN lead(close, {HOLD + 1}) OVER w WHEN 2 THEN lead(close, {HOLD + 2}) OVER w ELSE lead(close, {HOLD + 3}) OVER w END AS exit
+  FROM signals, (VALUES (0), (1), (2), (3)) d(latency) WINDOW w AS (PARTITION BY symbol, latency ORDER BY bucket_ms))
+SELECT latency, cost_mult, count(*) AS trades, sum(signal * (exit - entry) - greatest(spread, 0) * cost_mult) AS pnl FROM x, (VALUES (1), (2), (3), (4), (5)) c(cost_mult) WHERE signal <> 0 AND entry IS NOT NULL AND exit IS NOT NULL GROUP BY ALL""", "pnl", 4))
+def cost_latency_grid(spark, sf_dir):
+    """One to five times the cost, up to three bars late; costs are a column of the aggregate, not copies of the trades."""
+    out = None
+    s = signals(spark, sf_dir)
+    for latency in range(4):
+        t = simulate.overlapping(s, "signal", HOLD, 1.0, latency=latency)
+        own = t.groupBy(F.lit(latency).alias("latency")).agg(F.count("*").alias("trades"), F.sum("gross").alias("g"), F.sum("cost").alias("c"))
+        out = own if out is None else out.union(own)
+    out = out.withColumn("cost_mult", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return rounded(out.select("latency", "cost_mult", "trades", (F.col("g") - F.col("c") * F.col("cost_mult")).alias("pnl")), 4)
+
+
+@query(rounded_sql(f"""WITH {LEDGER}, f(fold, a, b) AS (VALUES (1, 1704067200000, 1704671700000), (2, 1704672000000, 1705276500000), (3, 1705276800000, 1705881300000), (4, 1705881600000, 1706486100000))
+SELECT fold, count(*) AS trades, sum(pnl) AS pnl, coalesce(sum(pnl) > 0 AND count(*) >= 50, false) AS passes FROM trades JOIN f ON bucket_ms BETWEEN a AND b GROUP BY fold""", "pnl"))
+def date_folds(spark, sf_dir):
+    """Weeks as folds, each up to its last five minutes; all folds at once, none stopped early."""
+    week = 7 * DAY
+    f = spark.createDataFrame([(k + 1, 1_704_067_200_000 + k * week, 1_704_067_200_000 + (k + 1) * week - 300_000) for k in range(4)], "fold int, a long, b long")
+    t = ledger(spark, sf_dir).join(F.broadcast(f), F.col("bucket_ms").between(F.col("a"), F.col("b")))
+    return rounded(t.groupBy("fold").agg(F.count("*").alias("trades"), F.sum("pnl").alias("pnl"), F.coalesce((F.sum("pnl") > 0) & (F.count("*") >= 50), F.lit(False)).alias("passes")))
+
+
+@query()
+def null_study(spark, sf_dir):
+    """Statistics of the momentum rule on twenty driftless series: their percentiles."""
+    from pyspark.sql import Window
+
+    from tickloom.sources import synthetic
+
+    d = synthetic.random_walk(spark, 600, 23, volatility=1e-3, series=20)
+    w = Window.partitionBy("symbol").orderBy("seq")
+    x = d.withColumns({"step": F.log("mid") - F.log(F.lag("mid").over(w)), "spread": F.col("ask") - F.col("bid"), "bucket_ms": F.col("time_ms"), "close": F.col("mid")})
+    x = x.withColumn("signal", F.coalesce(F.signum(F.sum("step").over(w.rowsBetween(-6, -1))), F.lit(0.0)).cast("int"))
+    s = stats.trade_stats(simulate.overlapping(x, "signal", HOLD, 1.0), ["symbol"], ["bucket_ms"], 6.0, "pnl")
+    return rounded(s.agg(F.count("*").alias("series"), *(F.percentile(c, q).alias(f"{c}_{int(q * 100)}") for c in ("profit_factor", "edge", "t_stat") for q in (0.05, 0.5, 0.95))))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS configs, count(DISTINCT (a, h)) AS models FROM (VALUES ('mlp'), ('linear')) x(a), (VALUES (64), (128), (256), (512), (1024), (2048)) y(h), (VALUES (1.0), (1.5), (2.0)) z(c), (VALUES (0.5), (1.0), (2.0)) k(k), (VALUES (1), (2), (3)) s(s)")
+def sweep_configurations(spark, sf_dir):
+    """All settings of a sweep as a table."""
+    t = search.parameter_table(spark, arch=["mlp", "linear"], horizon=[64, 128, 256, 512, 1024, 2048], cost=[1.0, 1.5, 2.0], barrier=[0.5, 1.0, 2.0], seed=[1, 2, 3])
+    return t.agg(F.count("*").alias("configs"), F.countDistinct("arch", "horizon").alias("models"))
+
+
+@query("""SELECT id, t, row_number() OVER (ORDER BY t DESC NULLS LAST, id) AS place FROM (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_acctbal END AS t FROM supplier)""")
+def ranking_nulls_last(spark, sf_dir):
+    """Models by falling statistic, those without one last."""
+    from pyspark.sql import Window
+
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 9 != 0, F.col("s_acctbal")).alias("t"))
+    return s.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.col("t").desc_nulls_last(), "id")).cast("long"))
+
+
+@query(rounded_sql(f"""WITH {TICKS}, {SIGNALS}, s2 AS (SELECT symbol, bucket_ms, close, ln(close) - ln(lag(close) OVER w) AS st FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bucket_ms)),
+f AS (SELECT symbol, bucket_ms, CASE WHEN count(st) OVER a = 8 THEN sum(st) OVER a END AS raw, CASE WHEN count(st) OVER v = 48 THEN stddev_samp(st) OVER v END AS sd, sum(greatest(st, 0)) OVER a AS up, sum(greatest(-st, 0)) OVER a AS down FROM s2 WINDOW a AS (PARTITION BY symbol ORDER BY bucket_ms ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), v AS (PARTITION BY symbol ORDER BY bucket_ms ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING))
+SELECT symbol, bucket_ms, raw, raw / nullif(sd * sqrt(8.0), 0) AS volz, CASE WHEN (bucket_ms // {HOUR}) % 24 BETWEEN 7 AND 16 THEN raw / nullif(sd * sqrt(8.0), 0) END AS session_volz, raw / nullif(abs(lag(raw, 8) OVER (PARTITION BY symbol ORDER BY bucket_ms)), 0) AS ratio, up / nullif(up + down, 0) AS rsi FROM f""", "raw volz session_volz ratio rsi", 5))
+def self_features(spark, sf_dir):
+    """A symbol's own momentum features."""
+    from tickloom.operators import indicators
+
+    return rounded(indicators.self_features(b.bars(ticks_of(spark, sf_dir), HOUR), 8), 5)
+
+
+@query()
+def spread_z_scores(spark, sf_dir):
+    """Exponential z of the price ratio of two symbols."""
+    from tickloom.operators import indicators
+
+    bars = b.bars(ticks_of(spark, sf_dir), HOUR)
+    v, k = bars.filter("symbol = 'view'").select("bucket_ms", F.col("close").alias("a")), bars.filter("symbol = 'click'").select("bucket_ms", F.col("close").alias("b"))
+    return rounded(indicators.ew_spread_z(v.join(k, "bucket_ms").withColumn("symbol", F.lit("ALL")), "a", "b", 24))
