@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm import common
-from tickloom.llm.bpe import Vocabulary, bpe_encode
+from tickloom.llm.bpe import Vocabulary, bpe_id_lists
 from tickloom.llm.jaccard_join import one_of_each
 from tickloom.llm.mixing import mixed_documents
 from tickloom.llm.quality import quality_filter
@@ -47,10 +47,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (little-endian unsigned 32-bit integers), and a digest of what they decode to."""
-    vocabulary = Vocabulary(vocabulary_path())
-    out = bpe_encode(spark, docs, vocabulary, decoded=True)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
+    """Token ids of each document, and a digest of what they decode to."""
+    return bpe_id_lists(spark, docs, Vocabulary(vocabulary_path()))
 
 
 STAGES = [

@@ -1,7 +1,8 @@
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
-import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -42,7 +43,9 @@ def test_stages_one_by_one(spark, tmp_path):
     t = Tokenizer.from_file(corpus_pipeline.vocabulary_path())
     texts = {r["doc_id"]: r["text"] for r in made["mixed"].collect()}
     for r in made["encoded"].collect():
-        assert np.frombuffer(r["ids"], "<u4").tolist() == t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        text = texts[r["doc_id"]] or ""
+        assert r["ids"] == t.encode(text, add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+        assert r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_run(spark):

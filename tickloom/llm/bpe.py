@@ -11,6 +11,7 @@ sequence that applying the merges in order gives.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from array import array
 from collections.abc import Iterator
@@ -224,6 +225,31 @@ def _decoded(vocabulary: Vocabulary, ids: bytes) -> str:
     return decode_ids(vocabulary, np.frombuffer(ids, "<u4").astype(np.int64)).decode(errors="replace")
 
 
+def bpe_id_lists(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, n_tokens, ids as array<int>, and the SHA-256 of the text that they decode to; cases as for bpe_encode().
+
+    Numbers take a few bits each in Parquet and small pages, where binary ids would make large ones.
+    """
+    c.ship(spark)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    key = shared.id if hasattr(shared, "id") else id(shared)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[key] = Encoder(shared.value)
+        worker = _ENCODERS[key]
+        for batch in c.bounded_batches(batches, c.text_sizes(1), 1 << 19):
+            ids = [np.frombuffer(worker.encode(t) if t else b"", "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
+            sums = [hashlib.sha256(decode_ids(worker.v, x.astype(np.int64)).decode(errors="replace").encode()).hexdigest() for x in ids]
+            ends = np.cumsum([0, *(len(x) for x in ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(sums)], names=["doc_id", "n_tokens", "ids", "text_sha256"])
+        worker.forget()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>, text_sha256 string")
+
+
 def bpe_decode(spark: SparkSession, encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The texts that ids stand for: adds `decoded` to doc_id and ids.
 
