@@ -1,8 +1,10 @@
 """The 127 causal tick features, as window expressions over one order.
 
 Sums over frames are differences of running sums, so a row costs the same for 8
-ticks as for 1024; only extremes, the statistics of pairs, and the deviation of
-velocities, whose first value dwarfs the rest, use sliding frames.
+ticks as for 1024.  Extremes over long frames come from running extremes inside
+blocks of the frame's length, from both sides; only short extremes and the
+statistics of pairs use sliding frames.  The first velocity, which dwarfs the rest,
+stays out of the running sums and is added where a frame reaches it.
 Expressions are ANSI SQL, staged: each stage is one projection over the same
 partitioning and order, so all of them share one shuffle and one sort.
 """
@@ -67,7 +69,7 @@ LAST = {
 SUMMED = {
     "ret": "ret", "ret2": "ret * ret", "ret3": "ret * ret * ret", "ret4": "ret * ret * ret * ret", "abs": "abs(ret)",
     "mid": "mid", "mid2": "mid * mid", "ofi": "ofi", "ofi2": "ofi * ofi", "svol": "svol", "vol": "vol", "vol2": "vol * vol",
-    "spr": "spread", "spr2": "spread * spread", "ns": "norm_spread", "ns2": "norm_spread * norm_spread", "vel": "velocity", "acc": "accel",
+    "spr": "spread", "spr2": "spread * spread", "ns": "norm_spread", "ns2": "norm_spread * norm_spread", "vel": "CASE WHEN n > 1 THEN velocity ELSE 0e0 END", "vel2": "CASE WHEN n > 1 THEN velocity * velocity ELSE 0e0 END", "acc": "accel",
     "ami": "amihud", "kyl": "kyle", "mdv": "micro_dev", "mdv2": "micro_dev * micro_dev", "rate": "rate", "bnc": "bounce",
     "vm": "vol * mid", "buy": "buy", "sell": "sell", "dir": "dir", "up": "up", "ro": "ret * ofi", "rv": "ret * vol",
     "pos2": "CASE WHEN ret > 0 THEN ret * ret ELSE 0.0 END", "neg2": "CASE WHEN ret <= 0 THEN ret * ret ELSE 0.0 END",
@@ -118,8 +120,25 @@ def _full_rv(n: int) -> str:
     return f"CASE WHEN n >= {n} THEN sqrt({s('ret2', n)}) ELSE 0.0 END"
 
 
+#: Frames whose extremes are taken from blocks.
+LONG = (128, 512)
+
+
+def _extreme(what: str, n: int) -> str:
+    """min or max of the mid over a frame."""
+    if n not in LONG:
+        return f"{what}(mid) {_rows(n)}"
+    pick = "least" if what == "min" else "greatest"
+    return f"{pick}({what}_head_{n}, coalesce(lag({what}_tail_{n}, {n - 1}) {_OVER}, {what}_head_{n}))"
+
+
+def _block_extremes(n: int) -> dict[str, str]:
+    over = f"OVER (PARTITION BY symbol, block_{n} ORDER BY time_ms, seq ROWS BETWEEN"
+    return {f"{w}_{part}_{n}": f"{w}(mid) {over} {rows})" for w in ("min", "max") for part, rows in (("head", "UNBOUNDED PRECEDING AND CURRENT ROW"), ("tail", "CURRENT ROW AND UNBOUNDED FOLLOWING"))}
+
+
 def _donchian(n: int) -> str:
-    low, high = f"min(mid) {_rows(n)}", f"max(mid) {_rows(n)}"
+    low, high = _extreme("min", n), _extreme("max", n)
     return f"CASE WHEN {high} - {low} > 1e-12 THEN (mid - {low}) / ({high} - {low}) ELSE 0.5 END"
 
 
@@ -141,6 +160,16 @@ def _autocorrelation() -> str:
     return f"CASE WHEN n >= 32 THEN {_clip(f'(({xy} - {x} * {y} / {k}) / {k}) / ({dev(xx, x)} * {dev(yy, y)} + 1e-10)', -1.0, 1.0)} ELSE 0.0 END"
 
 
+def _velocity(n: int, square: bool = False) -> str:
+    first = f"first_value(velocity) {_OVER}"
+    added = f"{first} * {first}" if square else first
+    return f"(({s('vel2' if square else 'vel', n)} + CASE WHEN n <= {n} THEN {added} ELSE 0e0 END) / {_n(n)})"
+
+
+def _velocity_sd(n: int) -> str:
+    return f"sqrt(greatest({_velocity(n, True)} - {_velocity(n)} * {_velocity(n)}, 0.0))"
+
+
 def _vwap_gap(n: int) -> str:
     return f"(mid - CASE WHEN {s('vol', n)} > 1e-12 THEN {s('vm', n)} / {s('vol', n)} ELSE mid END) / (mid + 1e-9)"
 
@@ -178,7 +207,7 @@ FEATURES: dict[str, str] = {
     "volm_32": _mean("vol", 32), "volm_128": _mean("vol", 128), "volsd_32": _sd("vol", 32), "volsd_128": _sd("vol", 128),
     "sprm_64": _mean("spr", 64), "sprsd_64": _sd("spr", 64),
     "sprz_64": f"CASE WHEN {_sd('spr', 64)} > 1e-12 THEN {_clip(f'(spread - {_mean("spr", 64)}) / {_sd("spr", 64)}', -6.0, 6.0)} ELSE 0.0 END",
-    "velm_32": _mean("vel", 32), "velm_128": _mean("vel", 128), "velsd_32": f"stddev_pop(velocity) {_rows(32)}", "velsd_128": f"stddev_pop(velocity) {_rows(128)}", "accm_32": _mean("acc", 32),
+    "velm_32": _velocity(32), "velm_128": _velocity(128), "velsd_32": _velocity_sd(32), "velsd_128": _velocity_sd(128), "accm_32": _mean("acc", 32),
     "dir_run": f"dir * row_number() OVER (PARTITION BY symbol, island ORDER BY time_ms, seq)",
     "fracup_64": _UP, "ac2_64": _lag_corr(2), "ac5_64": _lag_corr(5),
     "var_ratio": f"CASE WHEN {_mean('ret2', 64)} > 1e-18 THEN {_clip(f'{_mean("ret2", 8)} / {_mean("ret2", 64)}', 0.0, 10.0)} ELSE 1.0 END",
@@ -202,6 +231,10 @@ def _stages(wanted: Sequence[str], runs: bool) -> list[dict[str, str]]:
     """The projections that lead to the wanted features; each keeps all columns before it."""
     sums = sorted({(x, n) for x in SUMMED for n in FRAMES if any(s(x, n) + end in FEATURES[w] + " " for w in wanted for end in (" ", ")", ",", "*"))})
     stages = [STEPS, MOVES, TURNS, LAST]
+    blocks = [n for n in LONG if any(f"_head_{n}" in FEATURES[w] for w in wanted)]
+    if blocks:
+        stages.append({f"block_{n}": f"CAST(floor((n - 1) / {n}e0) AS BIGINT)" for n in blocks})
+        stages += [_block_extremes(n) for n in blocks]
     if runs:
         stages.append({"island": f"sum(turned) {_OVER}"})
     # squares are never negative; what the difference of running sums leaves below 0 is rounding
