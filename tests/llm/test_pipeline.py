@@ -55,13 +55,14 @@ def test_run(spark):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_queries_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "embeddings"):
+    for t in ("conversations", "documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = catalog.queries()[name](spark, SF).toPandas()
     want = con.execute(catalog.oracle_sql()[name]).fetch_df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    a, b = (sorted(map(tuple, x[columns].astype(str).to_numpy().tolist())) for x in (got, want))
+    text = lambda v: "null" if v is None or v != v else str(v)
+    a, b = (sorted(tuple(map(text, row)) for row in x[columns].to_numpy(dtype=object).tolist()) for x in (got, want))
     assert a == b
 
 
