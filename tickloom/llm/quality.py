@@ -6,8 +6,8 @@ n-grams of the corpus and their counts come out of that.  Discounts come from th
 counts of counts of each order, continuation counts and contexts from grouping
 the n-grams, and the probabilities of all orders from joins, lowest order first.
 The packs get back the log-probability of each of their n-grams, give every
-document its perplexity, and a quantile of the trusted documents kept out of the
-counts is the threshold of their language.
+document its perplexity.  Trusted documents that were kept out of the counts bound
+the threshold of their language, and rejected ones choose it within the bounds.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ _STEP = 1.0 / 512
 BUCKET_BITS = 8
 #: Bytes of median text by which perplexities are steadied; accuracy of the quantiles.
 USUAL_BYTES, _EXACT = 64, 100_000
+#: Kept-out documents above a quantile that make it one to rely on; places tried between the bounds of a threshold.
+BEYOND, PLACES = 10, 16
 
 _ENTRY = "bucket long, pack_id long, lang string, codes binary, counts binary"
 _ENTRY_ARROW = pa.schema([("bucket", pa.int64()), ("pack_id", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("counts", pa.binary())])
@@ -207,17 +209,20 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame) -> Dat
     return asked.mapInArrow(score, "pack_id long, row long, doc_id long, lang string, n_bytes long, perplexity double")
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, deviations: float = 4.5, held_out: int = 5) -> DataFrame:
+def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, deviations: float = 4.5, held_out: int = 5, least: float = 3.0) -> DataFrame:
     """Perplexity of every document under the trusted text of its language, and whether it passes.
 
     docs needs doc_id, text and lang; labels doc_id, quality and toxic; other columns
     are left out, whatever their names.  Trusted are the documents that all their
     labels call quality 1 and none toxic.  One in `held_out` of them, by a hash of
-    doc_id, isn't counted but sets the threshold of its language: the `quantile` of
-    their steadied perplexities or, where that is higher, `deviations` times the
-    distance from the median that the 0.9 quantile gives for one standard deviation,
-    since few kept-out documents don't reach far into the tail.  Steadied: as if
-    USUAL_BYTES of median text stood beside the document's own.
+    doc_id, isn't counted but bounds the threshold of its language: between `least`
+    and `deviations` times the distance from the median that the 0.9 quantile gives
+    for one standard deviation; with BEYOND of them above it, the `quantile` of their
+    steadied perplexities is the upper bound, which fewer would leave to the worst of
+    them.  Of PLACES between the bounds that one is the threshold where the share of
+    kept-out documents above it and the share of rejected documents (quality 0 or
+    toxic by some label) below it add up to least, the highest of equal ones.
+    Steadied: as if USUAL_BYTES of median text stood beside the document's own.
 
     Null lang is a language of its own.  A language without kept-out trusted text
     has no threshold and all its documents pass.  Null and empty texts have null
@@ -229,21 +234,22 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, quan
     perplexity, steady, threshold, passes.
     """
     ws = c.Workspace(spark)
-    return _scores(ws, c.pack_documents(ws, docs, keep=("lang",)), labels, quantile, deviations, held_out)
+    return _scores(ws, c.pack_documents(ws, docs, keep=("lang",)), labels, quantile, deviations, held_out, least)
 
 
-def quality_filter(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, deviations: float = 4.5, held_out: int = 5) -> DataFrame:
+def quality_filter(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, deviations: float = 4.5, held_out: int = 5, least: float = 3.0) -> DataFrame:
     """The rows of docs that pass quality_scores(), all columns of them.  Text isn't moved for it."""
     ws = c.Workspace(spark)
     packs = c.pack_documents(ws, docs, keep=c.others(docs))
-    passing = _scores(ws, packs, labels, quantile, deviations, held_out).filter("passes")
+    passing = _scores(ws, packs, labels, quantile, deviations, held_out, least).filter("passes")
     return c.emit_rows(packs, ws.table(c.rows_by_pack(passing), "passing"), docs)
 
 
-def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: float, deviations: float, held_out: int) -> DataFrame:
+def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: float, deviations: float, held_out: int, least: float) -> DataFrame:
     judged = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    good = judged.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(held_out)) == 0).alias("held"))
-    places = ws.table(c.row_places(packs).join(good, "doc_id"), "trusted")
+    trusted = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    marked = judged.select("doc_id", F.when(trusted, F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(held_out)) == 0).alias("held"), ((F.col("quality") == 0) | (F.col("toxic") > 0)).alias("rejected"))
+    places = ws.table(c.row_places(packs).join(marked.filter("held is not null or rejected"), "doc_id"), "labelled")
     learn = ws.table(c.rows_by_pack(places.filter("not held")), "learn")
 
     entries = ws.bucketed(_entries(packs, learn), "ngrams", "bucket", gather=True)
@@ -251,12 +257,26 @@ def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: floa
     model = _probabilities(ws, grams)
     scores = ws.table(_perplexities(packs, entries, model), "scores")
     # short texts say little: so many bytes of a usual text are added to each
-    kept_out = ws.table(scores.filter("n_bytes > 0").join(places.filter("held").select("pack_id", "row"), ["pack_id", "row"]).select("lang", "n_bytes", F.log("perplexity").alias("loss")), "kept_out")
+    judges = ws.table(scores.filter("n_bytes > 0").join(places.filter("held or rejected").select("pack_id", "row", F.col("held").isNull().alias("rejected")), ["pack_id", "row"]).select("lang", "n_bytes", F.log("perplexity").alias("loss"), "rejected"), "judges")
+    kept_out = judges.filter("not rejected")
     usual = kept_out.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("loss", 0.5, _EXACT).alias("usual"))
     steady = lambda loss: (loss * F.col("n_bytes") + F.col("usual") * USUAL_BYTES) / (F.col("n_bytes") + USUAL_BYTES)
-    told = kept_out.join(F.broadcast(usual), _same("lang", "_lang")).withColumn("steady", steady(F.col("loss")))  # a row for each language
-    quantiles = told.groupBy("_lang").agg(F.first("usual").alias("usual"), F.percentile_approx("steady", [0.5, 0.9, quantile], _EXACT).alias("q"))
+    told = judges.join(F.broadcast(usual), _same("lang", "_lang")).withColumn("steady", steady(F.col("loss")))  # a row for each language
+    quantiles = told.filter("not rejected").groupBy("_lang").agg(F.first("usual").alias("usual"), F.percentile_approx("steady", [0.5, 0.9, quantile], _EXACT).alias("q"), F.count("*").alias("n"))
     spread = (F.col("q")[1] - F.col("q")[0]) / 1.2816
-    cut = quantiles.select("_lang", "usual", F.greatest(F.col("q")[2], F.col("q")[0] + spread * deviations).alias("most"))
+    high = F.when(F.col("n") * (1 - quantile) >= BEYOND, F.col("q")[2]).otherwise(F.col("q")[0] + spread * deviations)
+    bounds = ws.table(quantiles.select("_lang", "usual", high.alias("high"), F.least(high, F.col("q")[0] + spread * least).alias("low")), "bounds")
+    cut = _chosen(told.drop("_lang", "usual"), bounds)
     out = scores.join(F.broadcast(cut), _same("lang", "_lang"), "left").withColumn("steady", F.exp(steady(F.log("perplexity"))))
     return out.withColumns({"threshold": F.exp("most"), "passes": F.coalesce(F.log("steady") <= F.col("most"), F.col("n_bytes") > 0)}).drop("_lang", "usual", "most")
+
+
+def _chosen(judges: DataFrame, bounds: DataFrame) -> DataFrame:
+    """_lang, usual and most: of places between low and high the one where trusted above and rejected below are the least shares."""
+    at = lambda k: F.col("high") - (F.col("high") - F.col("low")) * (k / (PLACES - 1))
+    share = lambda wrong, of: F.coalesce(F.sum((wrong & of).cast("double")) / F.nullif(F.sum(of.cast("double")), F.lit(0.0)), F.lit(0.0))
+    bad = F.col("rejected")
+    wrong = [(share(F.col("steady") > at(k), ~bad) + share(F.col("steady") <= at(k), bad)).alias(f"w{k}") for k in range(PLACES)]
+    shares = judges.join(F.broadcast(bounds), _same("lang", "_lang")).groupBy("_lang", "usual", "low", "high").agg(*wrong)
+    best = F.array_min(F.array(*(F.struct(F.col(f"w{k}").alias("w"), F.lit(k).alias("k"), at(k).alias("most")) for k in range(PLACES))))
+    return shares.select("_lang", "usual", best["most"].alias("most"))
