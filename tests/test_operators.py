@@ -328,3 +328,35 @@ def test_merge_with_defaults_and_as_of_tolerance(spark):
 
 def test_grid_parameters_are_data(spark):
     assert search.parameter_table(spark, w=[1, 2], q=[0.1, 0.2, 0.3]).count() == 6
+
+
+def test_breaks_with_volume_against_brute_force(spark):
+    """sr_break_volume bar by bar, by the rule of run_indicator_strategy_search.py."""
+    frames, want = [], {}
+    for symbol, seed in (("A", 1), ("B", 2)):
+        rng = np.random.default_rng(seed)
+        n = 1200
+        close = 100 + np.cumsum(rng.normal(0, 1, n))
+        open_ = np.r_[100, close[:-1]]
+        high, low = np.maximum(open_, close) + rng.exponential(0.2, n), np.minimum(open_, close) - rng.exponential(0.2, n)
+        ticks = rng.integers(20, 60, n) * np.where(rng.random(n) < 0.3, 6, 1)
+        frames.append(pd.DataFrame({"symbol": symbol, "bucket_ms": 1_704_067_200_000 + 3_600_000 * np.arange(n), "open": open_, "high": high, "low": low, "close": close, "spread": 0.1, "ticks": ticks}))
+        means = {5: float(ticks[0]), 10: float(ticks[0])}
+        res, sup = [math.nan] * n, [math.nan] * n
+        for i in range(n):
+            if i:
+                for k in means:
+                    means[k] += 2 / (k + 1) * (ticks[i] - means[k])
+                res[i], sup[i] = res[i - 1], sup[i - 1]
+            j = i - 15
+            if j >= 15:
+                res[i] = high[j] if high[j] >= high[j - 15 : i + 1].max() else res[i]
+                sup[i] = low[j] if low[j] <= low[j - 15 : i + 1].min() else sup[i]
+            loud = 100 * (means[5] - means[10]) / means[10] > 20
+            up = i and close[i] > res[i] and close[i - 1] <= res[i - 1] and not open_[i] - low[i] > close[i] - open_[i]
+            down = i and close[i] < sup[i] and close[i - 1] >= sup[i - 1] and not open_[i] - close[i] < high[i] - open_[i]
+            want[symbol, i] = 0 if not loud else 1 if up else -1 if down else 0
+    d = spark.createDataFrame(pd.concat(frames)).repartition(3)
+    got = indicators.chart_signals(d, F.timestamp_seconds(F.col("bucket_ms") / 1000)).select("symbol", "bucket_ms", "sr_break_volume").collect()
+    assert {(r["symbol"], (r["bucket_ms"] - 1_704_067_200_000) // 3_600_000): r["sr_break_volume"] for r in got} == want
+    assert {1, -1} <= set(want.values())

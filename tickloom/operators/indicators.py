@@ -234,22 +234,22 @@ def in_zone(minute: Column, zone: str) -> Column:
     return (minute >= a) & (minute < b)
 
 
-def chart_signals(bars: DataFrame, new_york: Column, smooth: Sequence[str] | None = None) -> DataFrame:
+def chart_signals(bars: DataFrame, new_york: Column) -> DataFrame:
     """Signals of -1, 0 and 1 on every bar: pivot breaks, trendlines, structure, gaps, order blocks, kill zones, openings.
 
-    new_york is the bar's local time.  ticks_ema5 and ticks_ema10, if there, are the
-    exponential means of the tick count (operators.recursive); without them the
-    volume oscillator is 0 and its signal silent.
+    new_york is the bar's local time.  The volume oscillator compares the 5- and 10-bar
+    exponential means of the tick count, for which a symbol is one group.
     """
     from tickloom.operators.joins import previous_session
+    from tickloom.operators.recursive import bar_means
 
     w = order()
     col = F.col
-    out = bars.withColumns({"_tr": true_range(w), "_body": F.abs(col("close") - col("open")), "_ny": new_york})
+    out = bar_means(bars, "ticks", (5, 10)).withColumns({"_tr": true_range(w), "_body": F.abs(col("close") - col("open")), "_ny": new_york})
     # true ranges of the first bar have no close before
     out = out.withColumn("_tr", F.coalesce(col("_tr"), col("high") - col("low")))
     out = out.withColumns({"_atr14": rolling_mean(col("_tr"), w, 14, 7), "_body5": rolling_mean(col("_body"), w, 5, 3)})
-    osc = 100 * (col("ticks_ema5") - col("ticks_ema10")) / F.nullif(col("ticks_ema10"), F.lit(0.0)) if "ticks_ema5" in bars.columns else F.lit(0.0)
+    osc = 100 * (col("ticks_ema5") - col("ticks_ema10")) / F.nullif(col("ticks_ema10"), F.lit(0.0))
 
     out = pivots(out, 15, 15, "_ph", "_pl").withColumns({"_res": last_known("_ph", w), "_sup": last_known("_pl", w)})
     up, down = crossed_up(col("close"), col("_res"), w), crossed_down(col("close"), col("_sup"), w)

@@ -8,6 +8,8 @@ give every range its start state (range_states), and ranges run side by side.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -81,6 +83,21 @@ def range_states(series: DataFrame, alpha: float, width_ms: int, value: str = "m
     return whole.groupBy("symbol", "_range").applyInPandas(run, schema)
 
 
+def bar_means(bars: DataFrame, value: str, spans: Sequence[int]) -> DataFrame:
+    """Exponential means of a column of bars: adds {value}_ema{n} for each span.
+
+    Null counts as 0; a mean is null until it rests on n / 2 bars, 2 at least.
+    """
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("bucket_ms")
+        x = df[value].astype(float).fillna(0.0)
+        return df.assign(**{f"{value}_ema{n}": x.ewm(span=n, adjust=False, min_periods=max(2, n // 2)).mean() for n in spans})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema) + "".join(f", `{value}_ema{n}` double" for n in spans)
+    return bars.groupBy("symbol").applyInPandas(run, schema)
+
+
 def regime_filter(bars: DataFrame, observe: list[str], transition: np.ndarray, centres: np.ndarray, spread: float = 1.0) -> DataFrame:
     """Forward probabilities of a hidden Markov model over bars: adds regime (the likeliest) and regime_p.
 
