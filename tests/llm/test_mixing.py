@@ -37,6 +37,15 @@ def test_flow_costs_as_little_as_possible():
     assert cost(used) == pytest.approx(best)
 
 
+def test_a_few_words_beside_billions():
+    sizes = {("a",): 7, ("b",): 10**10, ("b", "c"): 3}
+    got = route(sizes, {"a": 14.0, "b": 1.5e10, "c": 2.4}, 2)
+    by = Counter()
+    for (_, s), x in got.items():
+        by[s] += x
+    assert by == {"a": 14, "b": 15 * 10**9, "c": 2}
+
+
 def test_mix_meets_targets(spark, odd_docs):
     rows = mixed(spark, odd_docs).collect()
     assert len(rows) == odd_docs.count()

@@ -53,11 +53,12 @@ def targets(sizes: dict[Source, int], weights: Sequence[float], share: float, mo
     return {s: out[s] for s in names}
 
 
-def route(sizes: dict[Pattern, int], quotas: dict[Source, float], repeats: int) -> dict[tuple[Pattern, Source], float]:
+def route(sizes: dict[Pattern, int], quotas: dict[Source, float], repeats: int) -> dict[tuple[Pattern, Source], int]:
     """Min-cost flow from patterns to sources.
 
     Pattern p offers its size `repeats` times, the k-th time at cost k - 1 a word;
-    source s wants quotas[s].  Successive shortest paths with Dijkstra over reduced
+    source s wants quotas[s], rounded to whole words.  All rooms are whole numbers, so
+    the flow is exact and the least source is served as the largest is.  Successive shortest paths with Dijkstra over reduced
     costs; each path saturates an edge, so there are few.
     """
     patterns, sources = list(sizes), list(quotas)
@@ -70,17 +71,16 @@ def route(sizes: dict[Pattern, int], quotas: dict[Source, float], repeats: int)
         at[a].append(len(edges))
         edges.append([b, room, cost])
         at[b].append(len(edges))
-        edges.append([a, 0.0, -cost])
+        edges.append([a, 0, -cost])
 
     for k, p in enumerate(patterns):
         for time in range(repeats):
-            edge(start, 1 + k, float(sizes[p]), float(time))
+            edge(start, 1 + k, sizes[p], float(time))
         for s in p:
             if s in place:
                 edge(1 + k, place[s], math.inf, 0.0)
     for s in sources:
-        edge(place[s], end, quotas[s], 0.0)
-    least = 1e-9 * max(1.0, sum(quotas.values()))
+        edge(place[s], end, round(quotas[s]), 0.0)
     height = [0.0] * (end + 1)
     while True:
         far, by, queue = [math.inf] * (end + 1), [-1] * (end + 1), [(0.0, start)]
@@ -92,7 +92,7 @@ def route(sizes: dict[Pattern, int], quotas: dict[Source, float], repeats: int)
             for e in at[a]:
                 b, room, cost = int(edges[e][0]), edges[e][1], edges[e][2]
                 step = d + cost + height[a] - height[b]
-                if room > least and step < far[b] - 1e-12:
+                if room > 0 and step < far[b] - 1e-12:
                     far[b], by[b] = step, e
                     heapq.heappush(queue, (step, b))
         if far[end] == math.inf:
@@ -106,7 +106,7 @@ def route(sizes: dict[Pattern, int], quotas: dict[Source, float], repeats: int)
         for e in path:
             edges[e][1] -= amount
             edges[e ^ 1][1] += amount
-    out: dict[tuple[Pattern, Source], float] = {}
+    out: dict[tuple[Pattern, Source], int] = {}
     back = {v: s for s, v in place.items()}
     for k, p in enumerate(patterns):
         for e in at[1 + k]:
@@ -158,14 +158,13 @@ def mix(spark: SparkSession, docs: DataFrame, sources: Column, size: Column, wei
 
     shares = []
     for p in sizes:
-        at, parts = 0.0, []
+        at, parts = 0, []
         for s in p:
             if (p, s) in flow:
                 parts.append((s, at, at + flow[p, s]))
                 at += flow[p, s]
-        parts = [(s, round(a), round(b)) for s, a, b in parts]
         members = [(s, by_source[s], wanted[s]) for s in p]
-        shares.append((key[p], sizes[p], min(round(at), repeats * sizes[p]), parts, members))
+        shares.append((key[p], sizes[p], at, parts, members))
     schema = "pattern string, pattern_size long, flow long, parts array<struct<source:string,start:long,stop:long>>, about array<struct<source:string,size:long,target:double>>"
     table = spark.createDataFrame(shares, schema) if shares else spark.createDataFrame([], schema)
     before = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
