@@ -116,6 +116,26 @@ def test_one_odd_trusted_document_sets_no_threshold(spark):
     assert strict[0]["threshold"] <= loose[0]["threshold"]
 
 
+@pytest.mark.parametrize("small", ["xx", None])
+def test_a_language_with_few_trusted_documents_has_a_threshold(spark, small):
+    """None or all of its trusted documents are kept out by the hash; its junk goes and its other text stays."""
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("aeioutnrs"), rng.integers(2, 7))) for _ in range(60)]
+    prose = lambda: " ".join(rng.choice(words, rng.integers(150, 300)))
+    junk = ["".join(rng.choice(list("#$%&@!*qxzjkv0123"), 300)) for _ in range(20)]
+    hashed = spark.range(1000).select("id", (F.pmod(F.xxhash64("id", F.lit(4)), F.lit(5)) == 0).alias("held")).collect()
+    few = {held: [r["id"] for r in hashed if r["held"] == held and r["id"] >= 300][:6] for held in (True, False)}
+    for ids in few.values():
+        rows = [(k, prose(), "en") for k in range(200)] + [(k, prose(), small) for k in ids]
+        rows += [(2000 + k, prose(), small) for k in range(20)] + [(3000 + k, t, small) for k, t in enumerate(junk)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        labels = spark.createDataFrame([(k, 1, 0) for k in [*range(200), *ids]], "doc_id long, quality int, toxic int")
+        got = [r for r in quality_scores(spark, docs, labels).collect() if r["lang"] == small]
+        assert all(r["threshold"] is not None for r in got)
+        kept = {r["doc_id"] for r in got if r["passes"]}
+        assert not kept & set(range(3000, 3020)) and len(kept & set(range(2000, 2020))) >= 18
+
+
 def test_quality_edge_cases(spark, odd_docs, no_docs):
     labels = labelled(spark, odd_docs)
     assert quality_scores(spark, no_docs, labels).count() == 0

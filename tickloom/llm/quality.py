@@ -31,6 +31,8 @@ BUCKET_BITS = 8
 USUAL_BYTES, _EXACT = 64, 100_000
 #: Kept-out documents above a quantile that make it one to rely on; places tried between the bounds of a threshold.
 BEYOND, PLACES = 10, 16
+#: Kept-out documents whose spread alone isn't trusted if they are fewer.
+FEW = 20
 
 _ENTRY = "bucket long, pack_id long, lang string, codes binary, counts binary"
 _ENTRY_ARROW = pa.schema([("bucket", pa.int64()), ("pack_id", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("counts", pa.binary())])
@@ -224,8 +226,13 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, quan
     toxic by some label) below it add up to least, the highest of equal ones.
     Steadied: as if USUAL_BYTES of median text stood beside the document's own.
 
-    Null lang is a language of its own.  A language without kept-out trusted text
-    has no threshold and all its documents pass.  Null and empty texts have null
+    In a language of whose trusted documents the hash keeps out none, or all, every
+    second one is kept out.  With fewer than FEW kept out, the spread is at least that
+    of all languages together.  Only a language with a single trusted document, or
+    none, has no threshold, and all its documents pass; so have all languages if there
+    are fewer than `held_out` trusted documents altogether.
+
+    Null lang is a language of its own.  Null and empty texts have null
     perplexity and don't pass.  Rows that share a doc_id share its labels; labels
     without a document and null doc_ids in labels count for nothing; an empty table
     gives no rows.  Without any trusted text every probability is 1 / 256.
@@ -249,7 +256,8 @@ def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: floa
     judged = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     trusted = (F.col("quality") == 1) & (F.col("toxic") == 0)
     marked = judged.select("doc_id", F.when(trusted, F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(held_out)) == 0).alias("held"), ((F.col("quality") == 0) | (F.col("toxic") > 0)).alias("rejected"))
-    places = ws.table(c.row_places(packs).join(marked.filter("held is not null or rejected"), "doc_id"), "labelled")
+    lang = lambda t: {"lang": t.column("lang").combine_chunks()}
+    places = ws.table(_some_held(ws.table(c.row_places(packs, "lang string", lang).join(marked.filter("held is not null or rejected"), "doc_id"), "labelled"), held_out), "places")
     learn = ws.table(c.rows_by_pack(places.filter("not held")), "learn")
 
     entries = ws.bucketed(_entries(packs, learn), "ngrams", "bucket", gather=True)
@@ -263,7 +271,10 @@ def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: floa
     steady = lambda loss: (loss * F.col("n_bytes") + F.col("usual") * USUAL_BYTES) / (F.col("n_bytes") + USUAL_BYTES)
     told = judges.join(F.broadcast(usual), _same("lang", "_lang")).withColumn("steady", steady(F.col("loss")))  # a row for each language
     quantiles = told.filter("not rejected").groupBy("_lang").agg(F.first("usual").alias("usual"), F.percentile_approx("steady", [0.5, 0.9, quantile], _EXACT).alias("q"), F.count("*").alias("n"))
-    spread = (F.col("q")[1] - F.col("q")[0]) / 1.2816
+    of = lambda q: (q[1] - q[0]) / 1.2816
+    together = told.filter("not rejected").agg(F.percentile_approx(F.col("steady") - F.col("usual"), [0.5, 0.9], _EXACT).alias("all_q"))
+    quantiles = quantiles.crossJoin(F.broadcast(together))  # one row
+    spread = F.when(F.col("n") < FEW, F.greatest(of(F.col("q")), of(F.col("all_q")))).otherwise(of(F.col("q")))
     high = F.when(F.col("n") * (1 - quantile) >= BEYOND, F.col("q")[2]).otherwise(F.col("q")[0] + spread * deviations)
     bounds = ws.table(quantiles.select("_lang", "usual", high.alias("high"), F.least(high, F.col("q")[0] + spread * least).alias("low")), "bounds")
     cut = _chosen(told.drop("_lang", "usual"), bounds)
@@ -271,6 +282,19 @@ def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: floa
     return out.withColumns({"threshold": F.exp("most"), "passes": F.coalesce(F.log("steady") <= F.col("most"), F.col("n_bytes") > 0)}).drop("_lang", "usual", "most")
 
 
+def _some_held(labelled: DataFrame, held_out: int) -> DataFrame:
+    """labelled with every second trusted document held in languages of whose trusted documents none or all are.
+
+    Such languages have few of them, so one task orders a language.
+    """
+    trusted = labelled.filter("held is not null")
+    enough = trusted.agg((F.count("*") >= held_out).alias("enough"))  # one row
+    alike = trusted.groupBy(F.col("lang").alias("_lang")).agg(F.min("held").alias("a"), F.max("held").alias("b")).filter("a = b").crossJoin(F.broadcast(enough)).filter("enough").select("_lang")
+    rank = F.dense_rank().over(Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id"))
+    anew = trusted.join(F.broadcast(alike), _same("lang", "_lang")).select("pack_id", "row", (rank % 2 == 0).alias("_held"))
+    return labelled.join(anew, ["pack_id", "row"], "left").withColumn("held", F.coalesce("_held", "held")).drop("_held", "lang")
+
+
 def _chosen(judges: DataFrame, bounds: DataFrame) -> DataFrame:
     """_lang, usual and most: of places between low and high the one where trusted above and rejected below are the least shares."""
     at = lambda k: F.col("high") - (F.col("high") - F.col("low")) * (k / (PLACES - 1))
