@@ -3,8 +3,6 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import SparkSession
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from conftest import SMALL
+from settings import SMALL
 from tickloom.plans import catalog
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from settings import SMALL
 from tickloom.operators import bars as b
 from tickloom.operators import simulate
 from tickloom.sources import ticks as t
