@@ -201,6 +201,30 @@ def test_templates_read_back(spark, turns):
         assert r["formatted"].count("</s>") == r["formatted"].count("[INST]") == len(own)
 
 
+_BITS = st.one_of(st.text("<[]/sINTMEDA:\\\\.0 ", max_size=3), st.sampled_from(["</s", "[MEDIA", "\\\\", "\n", "[/INST", "é"]))
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["text", "text", "text", "image", None]), _BITS), max_size=7), min_size=1, max_size=60))
+def test_short_parts_read_back(spark, messages):
+    """Control strings that come about only where parts meet, with empty parts and attachments between."""
+    rows = [(k, 0, "assistant", [(kind, text, "r", 1) for kind, text in parts]) for k, parts in enumerate(messages)]
+    d = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {PART_TYPE}")
+    out = chat_format(d).select("*", read_turns(F.col("formatted")).alias("t"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()
+    for r in out:
+        parts = messages[r["conv_id"]]
+        want = "".join(f"[MEDIA:0.{i}]" if kind == "image" else text for i, (kind, text) in enumerate(parts))
+        assert [x["text"] for x in r["t"]] == [want] and r["l"] == want
+        assert r["formatted"].count("[MEDIA:") == len(r["attachments"]) == sum(kind == "image" for kind, _ in parts)
+        assert all(r["formatted"][a["start"] :].startswith(f"[MEDIA:0.{a['part_index']}]") for a in r["attachments"])
+
+
+def test_a_long_conversation(spark):
+    rows = [(1, k, ("user", "assistant")[k % 2], [("text", "</s>" * 20_000 if k == 7 else f"turn {k}", None, 0)]) for k in range(3000)]
+    r = chat_format(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {PART_TYPE}")).select("n_turns", read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).first()
+    assert r["n_turns"] == 3000 and r["l"] == "".join(x[3][0][1] for x in rows if x[2] == "assistant")
+
+
 def test_parts_and_edge_cases(spark):
     rows = [
         (1, 0, "user", [("text", "see [MEDIA:9.9]", None, 0), ("image", None, "a.png", 2), ("text", "and", None, 0), ("audio", None, "b.wav", 3)], "x"),

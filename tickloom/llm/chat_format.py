@@ -7,8 +7,10 @@ it will expand to are recorded beside the formatted text.
 
 The template writes a turn as `<s>[INST]role[/INST]content</s>`.  In roles and
 texts a backslash is doubled, and a backslash is set inside every control string
-(`<\/s>`, `[\INST]`, ...), so that none of them occurs there; taking each
-backslash away and keeping what follows gives the text back.
+(`<\/s>`, `[\INST]`, ...), so that none of them occurs there.  Where one text part
+follows another and the first ends like the start of a control string, `\.` stands
+between them, so none comes about across their border either.  Taking `\.` away,
+and each other backslash but not what follows it, gives the text back.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: The control strings of the template, without their first character.
 _CONTROL = r"([<\[])(/?s>|/?INST\]|MEDIA:)"
+#: A text that ends with the first characters of a control string, but not with all of them.
+_BEGUN = r"(<(/?s?)|\[(/?(I(N(ST?)?)?)?|M(E(D(IA?)?)?)?))\z"
+_BREAK = "\\."
 PART_TYPE = "array<struct<kind:string,text:string,ref:string,units:long>>"
 #: Tokens that one unit of an attachment expands to: an image tile, a second of sound, a page.
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 512}
@@ -27,7 +32,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.regexp_replace(text, r"(?s)\\(?:\.|(.))", "$1")
 
 
 def text_part(text: Column) -> Column:
@@ -35,10 +40,17 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("units")))
 
 
-def _visit(part: Column, turn: Column, index: Column) -> Column:
-    """Template text of one part."""
+def _is_media(part: Column) -> Column:
+    return F.coalesce(part["kind"], F.lit("text")).isin(*UNIT_TOKENS)
+
+
+def _visit(parts: Column, turn: Column, index: Column) -> Column:
+    """Template text of the part at index (from 0)."""
+    part, after = F.get(parts, index), F.get(parts, index + 1)
     placeholder = F.concat(F.lit("[MEDIA:"), turn.cast("string"), F.lit("."), index.cast("string"), F.lit("]"))
-    return F.when(F.coalesce(part["kind"], F.lit("text")).isin(*UNIT_TOKENS), placeholder).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    text = F.coalesce(part["text"], F.lit(""))
+    begun = (index + 1 < F.size(parts)) & ~_is_media(after) & text.rlike(_BEGUN)
+    return F.when(_is_media(part), placeholder).when(begun, F.concat(escape(text), F.lit(_BREAK))).otherwise(escape(text))
 
 
 def chat_format(messages: DataFrame, learn_from: str = "assistant") -> DataFrame:
@@ -65,24 +77,22 @@ def chat_format(messages: DataFrame, learn_from: str = "assistant") -> DataFrame
         F.coalesce(F.col("parts"), F.expr(f"cast(array() as {PART_TYPE})")).alias("parts"),
     ).withColumn("raw", F.concat_ws("\n", F.transform("parts", lambda p: F.coalesce(p["text"], p["ref"], F.lit("")))))
     rows = rows.withColumn("index", F.row_number().over(by_conv) - 1)
-    rows = rows.withColumn("pieces", F.transform("parts", lambda p, i: _visit(p, F.col("index"), i)))
+    rows = rows.withColumn("pieces", F.transform("parts", lambda p, i: _visit(F.col("parts"), F.col("index"), i)))
     head = F.concat(F.lit("<s>[INST]"), escape(F.col("role")), F.lit("[/INST]"))
-    rows = rows.withColumns({"head": head, "content": F.array_join("pieces", "")})
+    rows = rows.withColumns({"head": head, "content": F.array_join("pieces", ""), "lengths": F.transform("pieces", lambda x: F.length(x).cast("long"))})
     rows = rows.withColumn("turn_text", F.concat("head", "content", F.lit("</s>")))
     rows = rows.withColumn("from", F.sum(F.length("turn_text").cast("long")).over(by_conv) - F.length("turn_text") + F.length("head"))
-    attached = F.filter(
-        F.transform(
-            "parts",
-            lambda p, i: F.struct(
-                F.col("index").alias("turn_index"),
-                i.alias("part_index"),
-                p["kind"].alias("kind"),
-                p["ref"].alias("ref"),
-                (F.col("from") + F.length(F.array_join(F.slice("pieces", F.lit(1), i), ""))).alias("start"),
-                (F.coalesce(p["units"], F.lit(0)) * _unit_tokens(p["kind"])).alias("tokens"),
-            ),
+    media = F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: _is_media(x["p"]))
+    attached = F.transform(
+        media,
+        lambda x: F.struct(
+            F.col("index").alias("turn_index"),
+            x["i"].alias("part_index"),
+            x["p"]["kind"].alias("kind"),
+            x["p"]["ref"].alias("ref"),
+            (F.col("from") + F.aggregate(F.slice("lengths", F.lit(1), x["i"]), F.lit(0).cast("long"), lambda a, n: a + n)).alias("start"),
+            (F.coalesce(x["p"]["units"], F.lit(0)) * _unit_tokens(x["p"]["kind"])).alias("tokens"),
         ),
-        lambda a: F.coalesce(a["kind"], F.lit("text")).isin(*UNIT_TOKENS),
     )
     span = F.when(F.col("role") == learn_from, F.struct(F.col("index"), F.col("from").alias("start"), F.length("content").cast("long").alias("length")))
     rows = rows.select("conv_id", "index", "turn_text", span.alias("span"), attached.alias("attached"))
