@@ -331,6 +331,18 @@ def test_scores_against_a_plain_model(spark):
             assert r["score"] == pytest.approx(score(u), abs=1e-6) and r["verdict"] in ("allow", "block")
 
 
+def test_a_long_url_and_a_hot_one(spark):
+    long = "http://a.example.com/" + "é/x9" * 20_000
+    urls = [long, "http://b.example.com/x"] + ["http://hot.example.com/y"] * 500 + [None] * 300 + [f"http://a{k}.{t}/{q}/{k}" for k in range(30) for t, q in (("net", "de"), ("org", "fr"))]
+    got = url_filter(spark, spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3), RULES).collect()
+    known = {u: ((plain_rule(u)[2] or Rule(None, "", "")).verdict, n) for u, n in Counter(u for u in urls if u).items()}
+    score = plain_models(known)
+    by_id = {r["page_id"]: r for r in got}
+    assert len(got) == len(urls) and by_id[0]["score"] == pytest.approx(score(long), abs=1e-6)
+    assert {(r["verdict"], r["score"]) for r in got if 2 <= r["page_id"] < 502} == {(by_id[2]["verdict"], by_id[2]["score"])}
+    assert {r["verdict"] for r in got if 502 <= r["page_id"] < 802} == {"block"}
+
+
 def test_url_edge_cases(spark):
     d = spark.createDataFrame([(1, "http://a.example.com/"), (None, None)], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in url_filter(spark, d, RULES).collect()}
