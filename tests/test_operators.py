@@ -26,7 +26,7 @@ def test_every_feature_is_causal(spark):
     """Cutting the future off changes no earlier row."""
     whole, _ = make_ticks(spark, 300)
     cut = whole.filter("seq < 200")
-    for make in (lambda d: features.tick_features(d), recursive.recursive_features):
+    for make in (features.tick_features, recursive.recursive_features):
         a = make(whole).filter("seq < 200").orderBy("seq").toPandas()
         b = make(cut).orderBy("seq").toPandas()
         pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9, atol=1e-9)
@@ -60,7 +60,7 @@ def test_features_against_numpy(spark):
 def test_all_127_features_exist():
     own = len(features.FEATURES)
     rec = len(recursive.SPANS) + len(recursive.SPANS) - 1 + len(recursive.PERIODS) + 1
-    assert own + 1 + rec == 127  # and the drawdown
+    assert own + rec == 127
 
 
 def test_recursive_against_a_loop(spark):
@@ -79,8 +79,37 @@ def test_recursive_against_a_loop(spark):
         l += (down - l) / 14  # noqa: E741
         assert got.emadev_16[i] == pytest.approx((m - e) / (m + 1e-9), abs=1e-9)
         assert got.rsi_14[i] == pytest.approx(1 - 1 / (1 + g / (l + 1e-12)), abs=1e-9)
-    ranged = recursive.range_states(d.select("symbol", "seq", "time_ms", "mid"), 2 / 17, 30_000).orderBy("seq").toPandas()
-    assert ranged.ema.iloc[-1] == pytest.approx(e)
+    own = d.select("symbol", "seq", "time_ms", "mid")
+    chunked = recursive.exponential_mean(own, 2 / 17, chunk_rows=20, width_ms=10_000).orderBy("seq").toPandas()
+    assert chunked.ema.iloc[-1] == pytest.approx(e)
+    pd.testing.assert_frame_equal(recursive.recursive_features(d, 20, 10_000).orderBy("seq").toPandas(), got, rtol=1e-12)
+    level, variance, levels = df.mid[0], 1.0, []
+    for m in df.mid:
+        gain = (variance + 1e-5) / (variance + 1e-5 + 1e-2)
+        level, variance = level + gain * (m - level), (variance + 1e-5) * (1 - gain)
+        levels.append(level)
+    assert np.allclose(recursive.kalman_level(own, "mid", chunk_rows=20, width_ms=10_000).orderBy("seq").toPandas().level, levels)
+    assert recursive.kalman_gains(np.arange(10**7 - 3, 10**7), 1e-5, 1e-2)[-1] == pytest.approx(recursive.kalman_gains(np.arange(1, 5000), 1e-5, 1e-2)[-1])
+
+
+def test_features_of_a_long_series_near_2000(spark):
+    """Chunks give what the whole series gives, bit for bit, and no digit goes on the way; long runs of one direction too."""
+    rng = np.random.default_rng(5)
+    n = 30_000
+    step = rng.normal(0, 0.01, n)
+    step[8000:14_000] = 0.01  # one run over many chunks
+    step[20_000:23_000] = 0
+    mid = 2000 + np.cumsum(step)
+    df = pd.DataFrame({"symbol": "A", "seq": np.arange(n), "time_ms": 1_704_067_200_000 + np.cumsum(rng.integers(0, 4000, n)), "ask": mid + 0.02, "bid": mid - 0.02, "mid": mid, "ask_vol": rng.integers(1, 50, n).astype(float), "bid_vol": rng.integers(1, 50, n).astype(float)})
+    d = spark.createDataFrame(df)
+    got = features.tick_features(d, chunk_rows=2000).orderBy("seq").toPandas()
+    pd.testing.assert_frame_equal(got, features.tick_features(d, chunk_rows=1 << 30).orderBy("seq").toPandas(), check_exact=True)
+    for k in (64, 256, 1024):
+        for i in range(1500, n, 613):
+            w = mid[i - k + 1 : i + 1]
+            if w.std() > 1e-6:
+                assert got[f"f_midz_{k}"][i] == pytest.approx(np.clip((mid[i] - w.mean()) / w.std(), -6, 6), rel=1e-6, abs=1e-6)
+    assert got.f_dir_run[13_999] >= 6000 and not got.isna().any().any()
 
 
 def test_halo_gives_the_frames_of_the_whole_series(spark):

@@ -1,20 +1,21 @@
 """Features with unlimited memory: exponential means, Wilder's RSI, the volume clock, filters.
 
 Each is an affine recursion y = a x + (1 - a) y before it, which Catalyst has no
-expression for.  A symbol is one group.  A long series goes in time ranges: the
-state at a range's end is an affine function of that at its start, so two passes
-give every range its start state (range_states), and ranges run side by side.
+expression for.  Series of ticks go in chunks that run side by side (by_chunks);
+series of bars, which are short, are one group for each symbol.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.shipping import ship
+from tickloom.sources.ticks import in_chunks
 
 SPANS, PERIODS, CLOCK = (16, 64, 256, 1024), (14, 32, 64), 0.001
 
@@ -24,63 +25,113 @@ def smoothed(x: np.ndarray, alpha: float, start: float) -> np.ndarray:
     return pd.Series(np.r_[start, x]).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
 
 
-def recursive_features(ticks: DataFrame) -> DataFrame:
-    """Deviation from exponential means, their crosses, RSI and the volume-clock deviation of every tick."""
+class Recursion(NamedTuple):
+    """States y = y + alpha (x - y) over the rows of a chunk: x and alpha, rows by states, and y before the first row of all."""
+
+    x: np.ndarray
+    alpha: np.ndarray
+    start: np.ndarray
+
+    def run(self, before: np.ndarray) -> np.ndarray:
+        """The states after every row."""
+        out = np.empty_like(self.x)
+        for k in range(self.x.shape[1]):
+            alpha = self.alpha[:, k]
+            if len(alpha) and (alpha == alpha[0]).all():
+                out[:, k] = smoothed(self.x[:, k], alpha[0], before[k])
+            else:
+                y = before[k]
+                for i, (v, w) in enumerate(zip(self.x[:, k].tolist(), alpha.tolist(), strict=True)):
+                    y += w * (v - y)
+                    out[i, k] = y
+        return out
+
 
+def by_chunks(ticks: DataFrame, columns: Sequence[str], made: Callable[[pd.DataFrame], Recursion], finish: Callable[[pd.DataFrame, np.ndarray], dict], chunk_rows: int, width_ms: int) -> DataFrame:
+    """ticks with the columns that finish() makes from the states; chunks of a symbol run side by side.
+
+    made() gets a chunk's rows in order (n: the place in the symbol, from 1; and the
+    rows lent from before, at least one) and gives its recursion, whose rows count only
+    where inside holds.  The state after a chunk is an affine function of that before
+    it, so a first pass gives each chunk's factor and offset, a fold over the few chunks
+    of a symbol the states they start from, and a second pass the states themselves.
+    """
     ship(ticks.sparkSession)
+    chunks = in_chunks(ticks, 1, chunk_rows, width_ms)
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["time_ms", "seq"])
-        mid, time = df.mid.to_numpy(float), df.time_ms.to_numpy()
-        out = df[["symbol", "seq", "time_ms"]].copy()
-        ema = {n: smoothed(mid, 2 / (n + 1), mid[0]) for n in SPANS}
-        for n in SPANS:
-            out[f"emadev_{n}"] = (mid - ema[n]) / (mid + 1e-9)
-        for a, b in zip(SPANS, SPANS[1:], strict=False):
-            out[f"emax_{a}_{b}"] = (ema[a] - ema[b]) / (mid + 1e-9)
+    def ordered(df: pd.DataFrame) -> tuple[pd.DataFrame, Recursion]:
+        df = df.sort_values(["time_ms", "seq"], ignore_index=True)
+        df["n"] = df.rows_before.iloc[0] + np.arange(1, len(df) + 1)
+        all_rows, keep = made(df), df.inside.to_numpy()
+        return df[keep], Recursion(all_rows.x[keep], all_rows.alpha[keep], all_rows.start)
+
+    def map_of(df: pd.DataFrame) -> pd.DataFrame:
+        rows, r = ordered(df)
+        after = r.run(np.zeros(r.x.shape[1]))[-1]
+        return pd.DataFrame({"symbol": [rows.symbol.iloc[0]], "chunk": [rows.chunk.iloc[0]], "factor": [np.prod(1 - r.alpha, axis=0)], "offset": [after], "start": [r.start]})
+
+    def fold(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("chunk")
+        y, before = df.start.iloc[0], []
+        for factor, offset in zip(df.factor, df.offset, strict=True):
+            before.append(y)
+            y = y * factor + offset
+        return pd.DataFrame({"symbol": df.symbol, "chunk": df.chunk, "before": before})
+
+    def run(df: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        rows, r = ordered(df)
+        return rows[names].assign(**finish(rows, r.run(states.before.iloc[0])))
+
+    names = ticks.columns
+    maps = chunks.groupBy("symbol", "chunk").applyInPandas(map_of, "symbol string, chunk long, factor array<double>, offset array<double>, start array<double>")
+    states = maps.groupBy("symbol").applyInPandas(fold, "symbol string, chunk long, before array<double>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ticks.schema) + "".join(f", {x} double" for x in columns)
+    return chunks.groupBy("symbol", "chunk").cogroup(states.groupBy("symbol", "chunk")).applyInPandas(run, schema)
+
+
+CHUNK, HOUR_MS = 1 << 16, 3_600_000
+RECURSIVE = (*(f"emadev_{n}" for n in SPANS), *(f"emax_{a}_{b}" for a, b in zip(SPANS, SPANS[1:], strict=False)), *(f"rsi_{n}" for n in PERIODS), "vol_clock_dev")
+
+
+def recursive_features(ticks: DataFrame, chunk_rows: int = CHUNK, width_ms: int = HOUR_MS) -> DataFrame:
+    """Deviation from exponential means, their crosses, RSI and the volume-clock deviation of every tick."""
+
+    def made(df: pd.DataFrame) -> Recursion:
+        mid, first = df.mid.to_numpy(float), df.n.to_numpy() == 1
         step = np.diff(mid, prepend=0.0)
         gain, loss = np.maximum(step, 0), np.maximum(-step, 0)
-        for n in PERIODS:
-            strength = smoothed(gain, 1 / n, gain[0]) / (smoothed(loss, 1 / n, loss[0]) + 1e-12)
-            out[f"rsi_{n}"] = 1 - 1 / (1 + strength)
-        gap = np.r_[0.1, np.maximum(0.001, np.diff(time) / 1000)]
+        gap = np.where(first, 0.1, np.maximum(0.001, np.diff(df.time_ms.to_numpy(), prepend=df.time_ms.iloc[0]) / 1000))
         rate = np.clip(1 / gap, 0, 1000)
-        mean, square = smoothed(rate, CLOCK, 0.0), smoothed(rate * rate, CLOCK, 0.0)
-        out["vol_clock_dev"] = np.clip((rate - mean) / np.sqrt(np.maximum(square - mean * mean, 0) + 1e-10), -5, 5)
-        return out
+        x = np.stack([mid] * len(SPANS) + [gain, loss] * len(PERIODS) + [rate, rate * rate], axis=1)
+        alpha = np.array([2 / (n + 1) for n in SPANS] + [1 / n for n in PERIODS for _ in (0, 1)] + [CLOCK] * 2)
+        return Recursion(x, np.broadcast_to(alpha, x.shape), np.r_[x[0, :-2], 0.0, 0.0])
 
-    names = [f"emadev_{n}" for n in SPANS] + [f"emax_{a}_{b}" for a, b in zip(SPANS, SPANS[1:], strict=False)] + [f"rsi_{n}" for n in PERIODS] + ["vol_clock_dev"]
-    return ticks.select("symbol", "seq", "time_ms", "mid").groupBy("symbol").applyInPandas(run, "symbol string, seq long, time_ms long, " + ", ".join(f"{x} double" for x in names))
+    def finish(rows: pd.DataFrame, y: np.ndarray) -> dict:
+        mid = rows.mid.to_numpy(float)
+        ema, (gain, loss) = y[:, : len(SPANS)], (y[:, len(SPANS) + k : -2 : 2] for k in (0, 1))
+        out = [(mid - ema[:, k]) / (mid + 1e-9) for k in range(len(SPANS))]
+        out += [(ema[:, k] - ema[:, k + 1]) / (mid + 1e-9) for k in range(len(SPANS) - 1)]
+        out += [1 - 1 / (1 + gain[:, k] / (loss[:, k] + 1e-12)) for k in range(len(PERIODS))]
+        rate, mean, square = rows.rate.to_numpy(), y[:, -2], y[:, -1]
+        out.append(np.clip((rate - mean) / np.sqrt(np.maximum(square - mean * mean, 0) + 1e-10), -5, 5))
+        return dict(zip(RECURSIVE, out, strict=True))
 
+    def with_rate(df: pd.DataFrame) -> Recursion:
+        r = made(df)
+        df["rate"] = r.x[:, -2]
+        return r
 
-def range_states(series: DataFrame, alpha: float, width_ms: int, value: str = "mid") -> DataFrame:
-    """Exponential mean of value by time ranges side by side: adds ema.
+    return by_chunks(ticks.select("symbol", "seq", "time_ms", "mid"), RECURSIVE, with_rate, finish, chunk_rows, width_ms).drop("mid")
 
-    The first pass gives for each range the affine map from the state before it to the
-    state after it, (1 - alpha) ** rows and an offset; a fold over the few ranges of a
-    symbol gives the start states; the second pass runs the ranges.
-    """
-    ship(series.sparkSession)
-    ranged = series.withColumn("_range", F.floor(F.col("time_ms") / width_ms).cast("long"))
-
-    def map_of(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["time_ms", "seq"])
-        x = df[value].to_numpy(float)
-        return pd.DataFrame({"symbol": [df.symbol.iloc[0]], "_range": [df._range.iloc[0]], "first": [x[0]], "factor": [(1 - alpha) ** len(x)], "offset": [smoothed(x, alpha, 0.0)[-1]]})
 
-    maps = ranged.select("symbol", "seq", "time_ms", value, "_range").groupBy("symbol", "_range").applyInPandas(map_of, "symbol string, _range long, first double, factor double, offset double")
-    folded = maps.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_range", "first", "factor", "offset"))).alias("m"))
-    states = folded.withColumn("s", F.expr("aggregate(m, named_struct('y', m[0].first, 'out', cast(array() as array<struct<r:bigint,y:double>>)), (a, x) -> named_struct('y', a.y * x.factor + x.offset, 'out', concat(a.out, array(named_struct('r', x._range, 'y', a.y)))), a -> a.out)"))
-    starts = states.select("symbol", F.explode("s").alias("s")).select("symbol", F.col("s.r").alias("_range"), F.col("s.y").alias("_start"))
+def exponential_mean(series: DataFrame, alpha: float, value: str = "mid", chunk_rows: int = CHUNK, width_ms: int = HOUR_MS) -> DataFrame:
+    """series (symbol, seq, time_ms, value, ...) with ema, the exponential mean of value; it starts at the first value."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["time_ms", "seq"])
-        df["ema"] = smoothed(df[value].to_numpy(float), alpha, df._start.iloc[0])
-        return df.drop(columns=["_range", "_start"])
+    def made(df: pd.DataFrame) -> Recursion:
+        x = df[[value]].to_numpy(float)
+        return Recursion(x, np.full(x.shape, alpha), x[0])
 
-    whole = ranged.join(starts, ["symbol", "_range"])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.schema) + ", ema double"
-    return whole.groupBy("symbol", "_range").applyInPandas(run, schema)
+    return by_chunks(series, ["ema"], made, lambda _, y: {"ema": y[:, 0]}, chunk_rows, width_ms)
 
 
 def bar_means(bars: DataFrame, value: str, spans: Sequence[int]) -> DataFrame:
@@ -119,20 +170,30 @@ def regime_filter(bars: DataFrame, observe: list[str], transition: np.ndarray, c
     return bars.groupBy("symbol").applyInPandas(run, schema)
 
 
-def kalman_level(series: DataFrame, value: str, q: float = 1e-5, r: float = 1e-2) -> DataFrame:
-    """Scalar Kalman filter of a level: adds level and gain."""
+def kalman_gains(n: np.ndarray, q: float, r: float) -> np.ndarray:
+    """The gain of a scalar Kalman filter at each place n (rising by 1, from 1); it depends on nothing else.
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["time_ms", "seq"])
-        level, variance, levels, gains = float(df[value].iloc[0]), 1.0, [], []
-        for x in df[value].to_numpy(float):
-            variance += q
-            gain = variance / (variance + r)
-            level += gain * (x - level)
-            variance *= 1 - gain
-            levels.append(level)
-            gains.append(gain)
-        return df.assign(level=levels, gain=gains)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.schema) + ", level double, gain double"
-    return series.groupBy("symbol").applyInPandas(run, schema)
+    The variance tends to a fixed point, which it has reached once a step leaves it as it is.
+    """
+    variance, gains, k = 1.0, [], 0
+    last = int(n[-1])
+    while k < last:
+        prior = variance + q
+        gain = prior / (prior + r)
+        settled = prior * (1 - gain) == variance
+        variance, k = prior * (1 - gain), k + 1
+        gains.append(gain)
+        if settled:
+            break
+    return np.array(gains)[np.minimum(n, len(gains)) - 1]
+
+
+def kalman_level(series: DataFrame, value: str, q: float = 1e-5, r: float = 1e-2, chunk_rows: int = CHUNK, width_ms: int = HOUR_MS) -> DataFrame:
+    """Scalar Kalman filter of a level (symbol, seq, time_ms, value, ...): adds level and gain."""
+
+    def made(df: pd.DataFrame) -> Recursion:
+        x = df[[value]].to_numpy(float)
+        df["gain"] = kalman_gains(df.n.to_numpy(), q, r)
+        return Recursion(x, df[["gain"]].to_numpy(), x[0])
+
+    return by_chunks(series, ["level", "gain"], made, lambda rows, y: {"level": y[:, 0], "gain": rows.gain.to_numpy()}, chunk_rows, width_ms)

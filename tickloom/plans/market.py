@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tickloom.operators import bars as b
 from tickloom.operators import features, indicators, joins, labels, normalize, recursive
+from tickloom.plans.feature_twins import QUOTES, features_sql
 from tickloom.plans.registry import TICKS, query, rounded, rounded_sql
 from tickloom.plans.scans import table
 from tickloom.sources import ticks as t
@@ -33,14 +36,20 @@ ONE = TICKS.replace("event_type AS symbol", "'ALL' AS symbol")
 # --- features --------------------------------------------------------------------------------
 
 
-def _feature_query(name: str, names: list[str]) -> None:
-    digits = 4  # what running sums over a whole series leave of a short frame's variance
+def quotes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as quotes near 2,000 whose spreads are as wide as their moves and whose volumes vary."""
+    d = t.ticks(spark, sf_dir)
+    k, mid = F.col("ask_vol"), 2000 + F.col("mid") / 100
+    half = (k + 1) / 100
+    return d.select("symbol", "seq", "time_ms", (mid + half).alias("ask"), (mid - half).alias("bid"), mid.alias("mid"), (1 + k).alias("ask_vol"), (1 + (F.col("seq") * 37 + k) % 97).alias("bid_vol"))
+
 
+def _feature_query(name: str, names: list[str]) -> None:
     def run(spark, sf_dir):
-        return rounded(features.tick_features(ticks_of(spark, sf_dir), names).withColumns({f"f_{n}": F.col(f"f_{n}").cast("double") for n in names}), digits)
+        return rounded(features.tick_features(quotes_of(spark, sf_dir), names))
 
     run.__name__ = name
-    query(f"WITH {TICKS},\n" + features.features_sql("ticks", names, digits))(run)
+    query(rounded_sql(features_sql(names), " ".join(f"f_{n}" for n in names)))(run)
 
 
 _NAMES = list(features.FEATURES)
@@ -55,17 +64,19 @@ for _name, _names in GROUPS.items():
     _feature_query(_name, _names)
 
 
-@query(rounded_sql(f"""WITH {TICKS}, w AS (SELECT symbol, seq, time_ms, list(mid) OVER (PARTITION BY symbol ORDER BY time_ms, seq ROWS 127 PRECEDING) AS l FROM ticks)
-SELECT symbol, seq, time_ms, list_max(list_transform(l, lambda x, i: (list_max(l[1:i]) - x) / (list_max(l[1:i]) + 1e-9))) AS f_mdd_128 FROM w""", "f_mdd_128"))
-def features_drawdown(spark, sf_dir):
-    """Largest relative fall within 128 ticks."""
-    return rounded(features.drawdown(ticks_of(spark, sf_dir)))
+_EMA = {f"e{n}": ("mid", "mid", 2 / (n + 1)) for n in recursive.SPANS} | {f"{x}{n}": (v, v, 1 / n) for n in recursive.PERIODS for x, v in (("g", "up"), ("l", "down"))} | {"m": ("rate", "0.0", 0.001), "q": ("rate * rate", "0.0", 0.001)}
+_FIRST = ", ".join(f"{start} + ({x} - {start}) * {alpha!r} AS {name}" for name, (x, start, alpha) in _EMA.items())
+_NEXT = ", ".join(f"e.{name} + ({re.sub(r'(mid|up|down|rate)', r'n.\1', x)} - e.{name}) * {alpha!r}" for name, (x, _, alpha) in _EMA.items())
+_DEVIATIONS = ", ".join([f"(mid - e{n}) / (mid + 1e-9) AS emadev_{n}" for n in recursive.SPANS] + [f"(e{a} - e{z}) / (mid + 1e-9) AS emax_{a}_{z}" for a, z in zip(recursive.SPANS, recursive.SPANS[1:], strict=False)] + [f"1 - 1 / (1 + g{n} / (l{n} + 1e-12)) AS rsi_{n}" for n in recursive.PERIODS])
 
 
-@query()
+@query(rounded_sql(f"""WITH RECURSIVE {QUOTES}, a AS (SELECT symbol, seq, time_ms, mid, row_number() OVER w AS k, mid - coalesce(lag(mid) OVER w, 0) AS step, CASE WHEN lag(time_ms) OVER w IS NULL THEN 0.1 ELSE greatest(0.001, (time_ms - lag(time_ms) OVER w) / 1000.0) END AS gap FROM quotes WINDOW w AS (PARTITION BY symbol ORDER BY time_ms, seq)),
+n AS (SELECT *, greatest(step, 0) AS up, greatest(-step, 0) AS down, least(1 / gap, 1000) AS rate FROM a),
+e AS (SELECT symbol, seq, time_ms, mid, rate, k, {_FIRST} FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.seq, n.time_ms, n.mid, n.rate, n.k, {_NEXT} FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1)
+SELECT symbol, seq, time_ms, {_DEVIATIONS}, greatest(-5, least(5, (rate - m) / sqrt(greatest(q - m * m, 0) + 1e-10))) AS vol_clock_dev FROM e""", " ".join(recursive.RECURSIVE)))
 def features_recursive(spark, sf_dir):
     """Exponential means and crosses, Wilder's RSI, volume clock."""
-    return recursive.recursive_features(ticks_of(spark, sf_dir))
+    return rounded(recursive.recursive_features(quotes_of(spark, sf_dir)))
 
 
 @query(rounded_sql(f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, seq, time_ms, mid, row_number() OVER (PARTITION BY symbol ORDER BY time_ms, seq) AS k FROM ticks),
@@ -74,12 +85,16 @@ SELECT symbol, seq, ema FROM e""", "ema"))
 def ema_by_ranges(spark, sf_dir):
     """An exponential mean of a long series, its days computed side by side."""
     d = t.ticks(spark, sf_dir).select("symbol", "seq", "time_ms", "mid")
-    return rounded(recursive.range_states(d, 2 / 17.0, DAY).select("symbol", "seq", "ema"))
+    return rounded(recursive.exponential_mean(d, 2 / 17.0, chunk_rows=256).select("symbol", "seq", "ema"))
 
 
-@query()
+@query(rounded_sql(f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, seq, time_ms, mid, row_number() OVER (PARTITION BY symbol ORDER BY time_ms, seq) AS k FROM ticks),
+f AS (SELECT symbol, seq, time_ms, k, mid, mid AS level, 1 + 1e-5 AS prior FROM n WHERE k = 1
+  UNION ALL SELECT n.symbol, n.seq, n.time_ms, n.k, n.mid, f.level + x.prior / (x.prior + 1e-2) * (n.mid - f.level), x.prior FROM f JOIN n ON n.symbol = f.symbol AND n.k = f.k + 1, LATERAL (SELECT f.prior * (1 - f.prior / (f.prior + 1e-2)) + 1e-5 AS prior) x)
+SELECT symbol, seq, time_ms, mid, level, prior / (prior + 1e-2) AS gain FROM f""", "mid level gain"))
 def kalman_levels(spark, sf_dir):
-    return recursive.kalman_level(t.ticks(spark, sf_dir).select("symbol", "seq", "time_ms", "mid"), "mid")
+    """A filtered level; chunks of a series side by side."""
+    return rounded(recursive.kalman_level(t.ticks(spark, sf_dir).select("symbol", "seq", "time_ms", "mid"), "mid", chunk_rows=512))
 
 
 @query(rounded_sql(f"WITH {ONE} SELECT symbol, seq, avg(mid) OVER (PARTITION BY symbol ORDER BY time_ms, seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS m FROM ticks", "m"))

@@ -104,3 +104,38 @@ def with_halo(df: DataFrame, width_ms: int, before: int, after: int = 0) -> Data
     lends = totals.alias("a").join(wanted.alias("b"), (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.at") + F.col("a.rows") > F.col("b.low") - before) & (F.col("a.at") < F.col("b.high") + after)).select("a.symbol", "a.range", "b.to", "b.low", "b.high")
     out = ranked.drop("at", "rows").join(lends, ["symbol", "range"]).filter((F.col("_rn") >= F.col("low") - before) & (F.col("_rn") < F.col("high") + after))
     return out.withColumn("inside", (F.col("_rn") >= F.col("low")) & (F.col("_rn") < F.col("high"))).drop("range", "_rn", "low", "high").withColumnRenamed("to", "range")
+
+
+def in_chunks(df: DataFrame, before: int, rows: int = 1 << 15, width_ms: int = 3_600_000, turns: bool = False) -> DataFrame:
+    """Series cut into chunks of about `rows` ticks, each with at least `before` ticks ahead of it.
+
+    Adds chunk, inside (false for the ticks lent from before) and rows_before (how many
+    ticks of the symbol stand before the first one of this chunk, lent ones included).
+    Partition windows by symbol and chunk and keep the rows that are inside: row frames
+    of up to `before` see what they see in the whole series.
+
+    Chunks are made of whole hours (width_ms), so the ticks are neither sorted nor
+    numbered for it: the hours are counted, the counts place and lend the hours, and the
+    ticks are moved once, for the windows.  With `turns` the lent hours also reach back
+    to one in which mid has certainly moved both up and down, so that the last
+    direction, and where its run began, lie inside too (or the series begins there).
+    """
+    hour = F.floor(F.col("time_ms") / width_ms).cast("long")
+    when = F.struct(*ORDER)
+    ends = [F.min_by("mid", when).alias("a"), F.max_by("mid", when).alias("z"), F.min("mid").alias("low"), F.max("mid").alias("high")] if turns else []
+    counts = df.groupBy("symbol", hour.alias("hour")).agg(F.count("*").alias("ticks"), *ends)
+    order = Window.partitionBy("symbol").orderBy("hour")
+    turned = (F.col("high") > F.greatest("a", "z")) | (F.col("low") < F.least("a", "z")) if turns else F.lit(True)
+    hours = counts.withColumns({"at": F.sum("ticks").over(order) - F.col("ticks"), "k": F.row_number().over(order)})
+    # the last hour before each one that a chunk which needs its first tick may start from
+    hours = hours.withColumn("from_k", F.max(F.when(turned, F.col("k"))).over(order.rowsBetween(Window.unboundedPreceding, -1)) if turns else F.col("k"))
+    hours = hours.select("symbol", "hour", "k", "at", F.coalesce("from_k", F.lit(1)).alias("from_k"), F.floor(F.col("at") / rows).cast("long").alias("chunk"))
+    # a chunk asks for the hour that holds the tick `before` ahead of its first
+    asks = hours.groupBy("symbol", "chunk").agg(F.min("at").alias("at"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
+    asks = asks.select("symbol", "chunk", "first_k", "last_k", F.greatest(F.col("at") - before, F.lit(0)).alias("at"))
+    both = hours.select("symbol", "at", "from_k").unionByName(asks, allowMissingColumns=True)
+    found = F.last("from_k", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("at", F.col("chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    spans = both.withColumn("low_k", found).filter("chunk is not null").select("symbol", "chunk", "first_k", F.explode(F.sequence(F.least("low_k", "first_k"), F.col("last_k"))).alias("k"))
+    placed = spans.join(hours.select("symbol", "hour", "k", "at"), ["symbol", "k"])
+    placed = placed.select("symbol", "hour", "chunk", (F.col("k") >= F.col("first_k")).alias("inside"), F.min("at").over(Window.partitionBy("symbol", "chunk")).alias("rows_before"))
+    return df.withColumn("hour", hour).join(placed, ["symbol", "hour"]).drop("hour")
