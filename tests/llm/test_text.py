@@ -6,12 +6,14 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from tickloom.llm import common, quality
 from tickloom.llm.bpe import Encoder, Vocabulary, bpe_decode, bpe_encode, decode_ids
 from tickloom.llm.chat_format import PART_TYPE, chat_format, read_loss, read_turns, text_part
 from tickloom.llm.quality import ORDER, quality_filter, quality_scores
@@ -116,6 +118,49 @@ def test_one_odd_trusted_document_sets_no_threshold(spark):
     assert strict[0]["threshold"] <= loose[0]["threshold"]
 
 
+def test_thresholds_against_plain_quantiles(spark, monkeypatch):
+    """Threshold, level and passes from the perplexities alone, with equal texts in number on both sides of the threshold; packs in parts."""
+    monkeypatch.setattr(quality, "PART_PACKS", 2)
+    monkeypatch.setattr(common, "PACK_BYTES", 4000)
+    monkeypatch.setattr(common, "LARGEST_PACK", 4000)
+    rng = np.random.default_rng(3)
+    words = {x: ["".join(rng.choice(list(x), rng.integers(2, 7))) for _ in range(80)] for x in ("aeioutnrs", "bcdfghjklmaeiou")}
+    rows, labels = [], []
+    for k in range(1000):
+        lang, letters = ("en", "aeioutnrs") if k % 4 else ("de", "bcdfghjklmaeiou")
+        good = k % 5 > 0
+        text = " ".join(rng.choice(words[letters], 12)) if good else "".join(rng.choice(list(letters + "xyz "), 60))
+        rows += [(k, text if k % 50 else "the same text for many", lang)]
+        labels += [(k, int(good), 0)] if k % 3 else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality_scores(spark, docs.repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = {r["id"] for r in spark.range(1000).filter(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(5)) == 0).collect()}
+    mark = {i: q for i, q, _ in labels}
+    assert len({r["pack_id"] for r in got}) > 4
+    at = lambda values, level: sorted(values)[math.ceil(round(level * len(values), 9)) - 1]
+    of, usual = {}, {}
+    for lang in ("en", "de"):
+        own = [r for r in got if r["lang"] == lang]
+        loss = {r["doc_id"]: math.log(r["perplexity"]) for r in own}
+        keep = [i for i in loss if i in held and mark.get(i) == 1]
+        usual[lang] = at([loss[i] for i in keep], 0.5)
+        steady = {r["doc_id"]: round((loss[r["doc_id"]] * r["n_bytes"] + usual[lang] * quality.USUAL_BYTES) / (r["n_bytes"] + quality.USUAL_BYTES), 12) for r in own}
+        of[lang] = steady, [steady[i] for i in keep], [steady[i] for i in loss if mark.get(i) == 0]
+    for lang, (steady, keep, bad) in of.items():
+        assert len(keep) >= quality.FEW
+        tried = []
+        for level in quality.LEVELS:
+            far = NormalDist().inv_cdf(level) / NormalDist().inv_cdf(0.9)
+            most = at(keep, level) if len(keep) * (1 - level) >= quality.BEYOND - 1e-9 else at(keep, 0.5) + (at(keep, 0.9) - at(keep, 0.5)) * far
+            wrong = sum(x > most for x in keep) / len(keep) + sum(x <= most for x in bad) / len(bad)
+            tried.append((round(wrong, 9), -level, most))
+        _, level, most = min(tried)
+        for r in got:
+            if r["lang"] == lang:
+                assert r["level"] == -level and r["threshold"] == pytest.approx(math.exp(most), rel=1e-9)
+                assert r["passes"] == (steady[r["doc_id"]] <= most + 1e-12)
+
+
 @pytest.mark.parametrize("small", ["xx", None])
 def test_a_language_with_few_trusted_documents_has_a_threshold(spark, small):
     """None or all of its trusted documents are kept out by the hash; its junk goes and its other text stays."""

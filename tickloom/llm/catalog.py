@@ -56,7 +56,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality_scores(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return scores.select("doc_id", "lang", "n_bytes", F.round("perplexity", 4).alias("perplexity"), F.round("steady", 4).alias("steady"), F.round("threshold", 4).alias("threshold"), "passes")
+    return scores.select("doc_id", "lang", "n_bytes", F.round("perplexity", 4).alias("perplexity"), F.round("steady", 4).alias("steady"), F.round("threshold", 4).alias("threshold"), "level", "passes")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Shared ground: the shared working folder, packed documents, packed exchanges.
 
-Documents are read once and kept as *packs*: compressed Arrow batches of about
-2 MB of text, in a table bucketed by pack id.  Later passes join small replies to
-the packs without moving the text again.  What packs exchange goes as blobs of
-sorted hashes, one row for each (pack, bucket), so that Spark moves few rows and
-numpy does the comparing.
+Documents are read once and kept as *packs*: compressed Arrow batches of 2 MB of text
+or more, in a table bucketed by pack id.  Later passes join small replies to the packs
+without moving the text again.  What packs exchange goes as blobs of sorted hashes,
+one row for each (pack, bucket), so that Spark moves few rows and numpy does the
+comparing.  Packs and buckets both grow with the root of the corpus, up to a bound,
+so the rows of an exchange grow in proportion to the corpus and don't shrink to
+single entries.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.shipping import ship
 
-PACK_BYTES, PACK_ROWS = 2 << 20, 1 << 16
-#: Entries of an exchange that one bucket should get.
-BUCKET_ENTRIES = 1 << 17
+#: Text of a pack, at least and at most; it grows with the root of the corpus beyond so many bytes of input.
+PACK_BYTES, LARGEST_PACK, ROOT_FROM, PACK_ROWS = 2 << 20, 64 << 20, 2 << 30, 1 << 16
+#: Entries of an exchange that one bucket should get: at least, and at most; between them by the root of their number.
+BUCKET_ENTRIES, LARGEST_BUCKET, ENTRIES_FROM = 1 << 17, 1 << 24, 1 << 28
 LEAST_BUCKET_BITS = 10
+#: Buckets of the table of packs that one task writes to, so that its packs share so many files.
+TASK_BUCKETS = 4
 #: Stands for a null id where ids are compared: after all others.
 LAST_ID = np.iinfo(np.int64).max
 
@@ -42,6 +48,8 @@ class Workspace:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tickloom-")
             spark.sparkContext.setCheckpointDir(base)
             base = spark.sparkContext.getCheckpointDir()
@@ -59,28 +67,43 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def buckets(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     def bucketed(self, df: DataFrame, name: str, key: str, gather: bool = False) -> DataFrame:
         """df as a table bucketed by key, with as many buckets as shuffle partitions.
 
         gather: rows are shuffled once, so that a bucket is one file; else each task writes its own.
         """
         table = f"tickloom_{name}_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = self.buckets()
         df = df.repartition(n, key) if gather else df
         df.write.format("orc").bucketBy(n, key).option("compression", "none").option("path", f"{self.path}/{table}").saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 
 
+def _remove(spark: SparkSession, path: str, tables: list[str]) -> None:
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Workspaces opened inside are removed at the end, so results must be written by then; others stay until the process ends."""
+    first = len(_OPEN)
+    yield
+    while len(_OPEN) > first:
+        _remove(*_OPEN.pop())
+
+
 @atexit.register
 def _remove_workspaces() -> None:
-    for spark, path, tables in _OPEN:
+    for opened in _OPEN:
         try:
-            for name in tables:
-                spark.sql(f"DROP TABLE IF EXISTS {name}")
-            jvm = spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(*opened)
         except Exception:  # the session may be gone; its folder then stays  # noqa: BLE001
             return
 
@@ -117,32 +140,69 @@ def text_sizes(column: int):
 PACK_SCHEMA = "pack_id long, n_docs long, n_bytes long, n_words long, pack binary"
 
 
+def pack_bytes(docs: DataFrame) -> int:
+    """Text that a pack should hold, by the planner's estimate of the size of docs."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return int(min(LARGEST_PACK, PACK_BYTES * max(1.0, (size / ROOT_FROM) ** 0.5)))
+
+
+def _table_bucket(number: int, buckets: int) -> int:
+    """The bucket that Spark puts a long into: Murmur3 of it, seed 42."""
+    word = 0xFFFFFFFF
+    h = 42
+    for k in (number & word, number >> 32 & word):
+        k = k * 0xCC9E2D51 & word
+        k = ((k << 15 | k >> 17) & word) * 0x1B873593 & word
+        h ^= k
+        h = ((h << 13 | h >> 19) & word) * 5 + 0xE6546B64 & word
+    h ^= 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & word
+    h = (h ^ h >> 13) * 0xC2B2AE35 & word
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % buckets
+
+
+def _pack_ids(partition: int, buckets: int) -> Iterator[int]:
+    """Ids for the packs of a task, in turn in TASK_BUCKETS buckets of the table."""
+    number = [partition << 24] * TASK_BUCKETS
+    k = 0
+    while True:
+        turn = k % TASK_BUCKETS
+        wanted = (partition * TASK_BUCKETS + turn) % buckets
+        at = number[turn]
+        while at % TASK_BUCKETS != turn or _table_bucket(at, buckets) != wanted:
+            at += 1
+        number[turn], k = at + 1, k + 1
+        yield at
+
+
 def pack_documents(ws: Workspace, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Table of packs of (doc_id, text, *keep); rows stand by doc_id in a pack, null ids last."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    limit, buckets = pack_bytes(chosen), ws.buckets()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, n = TaskContext.get().partitionId() << 24, 0
+        ids = _pack_ids(TaskContext.get().partitionId(), buckets)
         codec = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         held: list[pa.RecordBatch] = []
         held_bytes = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, held_bytes, n
+            nonlocal held, held_bytes
             table = pa.Table.from_batches(held).combine_chunks()
             table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending")], null_placement="at_end"))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=codec) as out:
                 out.write_table(table)
             words = sum(len(x.split()) for x in (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in table.column("text")))
-            row = pa.RecordBatch.from_pydict({"pack_id": [first + n], "n_docs": [table.num_rows], "n_bytes": [held_bytes], "n_words": [words], "pack": [sink.getvalue().to_pybytes()]}, schema=pa.schema([("pack_id", pa.int64()), ("n_docs", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("pack", pa.binary())]))
-            held, held_bytes, n = [], 0, n + 1
+            row = pa.RecordBatch.from_pydict({"pack_id": [next(ids)], "n_docs": [table.num_rows], "n_bytes": [held_bytes], "n_words": [words], "pack": [sink.getvalue().to_pybytes()]}, schema=pa.schema([("pack_id", pa.int64()), ("n_docs", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("pack", pa.binary())]))
+            held, held_bytes = [], 0
             return row
 
         size = text_sizes(1)
-        for part in bounded_batches(batches, size):
+        for part in bounded_batches(batches, size, PACK_BYTES):
             more = int(size(part).sum())
-            if held and (held_bytes + more > PACK_BYTES or sum(x.num_rows for x in held) + part.num_rows > PACK_ROWS):
+            if held and (held_bytes + more > limit or sum(x.num_rows for x in held) + part.num_rows > PACK_ROWS):
                 yield flush()
             held.append(part)
             held_bytes += more
@@ -170,7 +230,8 @@ def ids_of(table: pa.Table) -> np.ndarray:
 
 def bucket_bits(entries: int) -> int:
     """So many leading hash bits make the bucket that a bucket stays small at any input size."""
-    return max(LEAST_BUCKET_BITS, math.ceil(math.log2(max(1, entries) / BUCKET_ENTRIES)) if entries > BUCKET_ENTRIES else 0)
+    each = min(LARGEST_BUCKET, BUCKET_ENTRIES * max(1.0, (entries / ENTRIES_FROM) ** 0.5))
+    return max(LEAST_BUCKET_BITS, math.ceil(math.log2(entries / each)) if entries > each else 0)
 
 
 def split_sorted(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

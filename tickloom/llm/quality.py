@@ -5,14 +5,20 @@ the n-grams that they hold, with their trusted counts, to buckets; the distinct
 n-grams of the corpus and their counts come out of that.  Discounts come from the
 counts of counts of each order, continuation counts and contexts from grouping
 the n-grams, and the probabilities of all orders from joins, lowest order first.
-The packs get back the log-probability of each of their n-grams, give every
-document its perplexity.  Trusted documents that were kept out of the counts bound
-the threshold of their language, and rejected ones choose it within the bounds.
+The packs get back the log-probability of each of their n-grams and give every
+document its perplexity.  The threshold of a language is a quantile of the perplexities
+of its trusted documents that were kept out of the counts; each language has its own
+level of the quantile, which its rejected documents choose.
+
+No group holds more than PART_PACKS packs' n-grams of a bucket: the packs of a bucket
+are merged part by part, level by level, and answered part by part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +32,28 @@ ORDER = 5
 _START = 0xFF
 #: Log-probabilities travel as steps of this size.
 _STEP = 1.0 / 512
-BUCKET_BITS = 8
+#: Buckets are 2 ** this at least; from ROOT_FROM bytes of text on they grow with its root.
+LEAST_BITS, ROOT_FROM = 8, 1 << 29
+#: Packs whose n-grams of a bucket meet in one group.
+PART_PACKS = 512
 #: Bytes of median text by which perplexities are steadied; accuracy of the quantiles.
 USUAL_BYTES, _EXACT = 64, 100_000
-#: Kept-out documents above a quantile that make it one to rely on; places tried between the bounds of a threshold.
-BEYOND, PLACES = 10, 16
+#: Levels of the quantile that is a language's threshold.
+LEVELS = tuple(x / 1000 for x in range(950, 1000, 5))
+#: Kept-out documents that must lie above a quantile for it to count.
+BEYOND = 2
 #: Kept-out documents whose spread alone isn't trusted if they are fewer.
 FEW = 20
 
-_ENTRY = "bucket long, pack_id long, lang string, codes binary, counts binary"
-_ENTRY_ARROW = pa.schema([("bucket", pa.int64()), ("pack_id", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("counts", pa.binary())])
+_ENTRY = "bucket long, part long, pack_id long, lang string, codes binary, counts binary"
+_ENTRY_ARROW = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("pack_id", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("counts", pa.binary())])
+
+
+_normal = NormalDist().inv_cdf
+
+
+def bucket_bits(n_bytes: int) -> int:
+    return LEAST_BITS + max(0, math.ceil(math.log2(max(1, n_bytes) / ROOT_FROM) / 2))
 
 
 def _codes(text: bytes) -> np.ndarray:
@@ -57,9 +75,9 @@ def _by_language(table: pa.Table) -> Iterator[tuple[str | None, np.ndarray, np.n
         yield lang, np.array(rows), np.concatenate(codes), np.repeat(np.arange(len(rows)), [len(x) for x in codes])
 
 
-def _bucket_of(codes: np.ndarray) -> np.ndarray:
+def _bucket_of(codes: np.ndarray, bits: int) -> np.ndarray:
     """By all but the last two bytes, so that neighbours, whose differences are small, stay together."""
-    return (c.mix((codes >> 16).astype(np.uint64)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return (c.mix((codes >> 16).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -73,9 +91,9 @@ def _from_planes(raw: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(c.unsqueeze(raw), np.uint8).reshape(width, -1).T.copy().view(kind).reshape(-1)
 
 
-def _in_buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _in_buckets(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of sorted codes by bucket, the buckets, and where each starts."""
-    bucket = _bucket_of(codes)
+    bucket = _bucket_of(codes, bits)
     order = np.argsort(bucket, kind="stable")
     buckets, at = np.unique(bucket[order], return_index=True)
     return order, buckets, np.r_[at, len(codes)]
@@ -87,7 +105,14 @@ def _trusted_rows(row: dict, n: int) -> np.ndarray:
     return out
 
 
-def _entries(packs: DataFrame, trusted: DataFrame) -> DataFrame:
+def _entry_rows(buckets: np.ndarray, at: np.ndarray, pack_id: int, part: int, lang: str | None, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows of codes that stand by bucket, rising in each, from at[k] to at[k + 1]."""
+    spans, n = list(zip(at, at[1:], strict=False)), len(buckets)
+    blobs = [pa.array([_planes(np.diff(codes[i:j], prepend=0)) for i, j in spans], pa.binary()), pa.array([_planes(counts[i:j]) for i, j in spans], pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([part] * n, pa.int64()), pa.array([pack_id] * n, pa.int64()), pa.array([lang] * n, pa.string()), *blobs], schema=_ENTRY_ARROW)
+
+
+def _entries(packs: DataFrame, trusted: DataFrame, bits: int, parts: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -96,10 +121,8 @@ def _entries(packs: DataFrame, trusted: DataFrame) -> DataFrame:
                 for lang, rows, codes, place in _by_language(table):
                     distinct, inverse = np.unique(codes, return_inverse=True)
                     counts = np.bincount(inverse, learn[rows][place], minlength=len(distinct)).astype(np.uint32)
-                    order, buckets, at = _in_buckets(distinct)
-                    distinct, counts = distinct[order], counts[order]
-                    parts = list(zip(at, at[1:], strict=False))
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([row["pack_id"]] * len(buckets), pa.int64()), pa.array([lang] * len(buckets), pa.string()), pa.array([_planes(np.diff(distinct[i:j], prepend=0)) for i, j in parts], pa.binary()), pa.array([_planes(counts[i:j]) for i, j in parts], pa.binary())], schema=_ENTRY_ARROW)
+                    order, buckets, at = _in_buckets(distinct, bits)
+                    yield _entry_rows(buckets, at, row["pack_id"], row["pack_id"] % parts, lang, distinct[order], counts[order])
 
     return c.with_replies(packs, {"trusted": trusted}).mapInArrow(send, _ENTRY)
 
@@ -108,21 +131,38 @@ def _read_codes(raw: bytes) -> np.ndarray:
     return np.cumsum(_from_planes(raw, np.int64))
 
 
-def _distinct(entries: DataFrame) -> DataFrame:
-    """lang, bucket, gram and trusted count of every n-gram of the corpus."""
+def _merged(table: pa.Table) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
+    """Language, distinct codes and their counts of a group of entries."""
+    langs = table.column("lang").to_pylist()
+    for lang in sorted(set(langs), key=lambda x: (x is None, x or "")):
+        own = table.filter(pa.array([x == lang for x in langs]))
+        codes = np.concatenate([_read_codes(x.as_py()) for x in own.column("codes")])
+        counts = np.concatenate([_from_planes(x.as_py(), np.uint32) for x in own.column("counts")])
+        distinct, inverse = np.unique(codes, return_inverse=True)
+        yield lang, distinct, np.bincount(inverse, counts, minlength=len(distinct)).astype(np.int64)
+
+
+def _distinct(ws: c.Workspace, entries: DataFrame, parts: int) -> DataFrame:
+    """lang, bucket, gram and trusted count of every n-gram of the corpus.
+
+    While a bucket has several parts, each is merged to one entry for each language, and
+    PART_PACKS of these are the next level's part.
+    """
+    most = np.iinfo(np.uint32).max
+
+    def merge(table: pa.Table) -> pa.Table:
+        bucket, part = (table.column(x)[0].as_py() for x in ("bucket", "part"))
+        rows = [_entry_rows(np.array([bucket]), np.array([0, len(codes)]), part, part // PART_PACKS, lang, codes, np.minimum(n, most).astype(np.uint32)) for lang, codes, n in _merged(table)]
+        return pa.Table.from_batches(rows, schema=_ENTRY_ARROW)
+
+    while parts > 1:
+        entries = ws.table(entries.groupBy("bucket", "part").applyInArrow(merge, _ENTRY), "merged")
+        parts = -(-parts // PART_PACKS)
 
     def reduce(table: pa.Table) -> pa.Table:
-        langs, out = table.column("lang").to_pylist(), {"lang": [], "gram": [], "n": []}
-        for lang in sorted(set(langs), key=lambda x: (x is None, x or "")):
-            own = table.filter(pa.array([x == lang for x in langs]))
-            codes = np.concatenate([_read_codes(x.as_py()) for x in own.column("codes")])
-            counts = np.concatenate([_from_planes(x.as_py(), np.uint32) for x in own.column("counts")])
-            distinct, inverse = np.unique(codes, return_inverse=True)
-            out["lang"].append(pa.array([lang] * len(distinct), pa.string()))
-            out["gram"].append(pa.array(distinct))
-            out["n"].append(pa.array(np.bincount(inverse, counts, minlength=len(distinct)).astype(np.int64)))
-        done = {k: pa.chunked_array(v) for k, v in out.items()}
-        return pa.table({"lang": done["lang"], "bucket": np.full(len(done["gram"]), table.column("bucket")[0].as_py()), "gram": done["gram"], "n": done["n"]})
+        bucket = table.column("bucket")[0].as_py()
+        out = [pa.table({"lang": pa.array([lang] * len(codes), pa.string()), "bucket": np.full(len(codes), bucket), "gram": codes, "n": n}) for lang, codes, n in _merged(table)]
+        return pa.concat_tables(out)
 
     return entries.groupBy("bucket").applyInArrow(reduce, "lang string, bucket long, gram long, n long")
 
@@ -168,25 +208,33 @@ def _probabilities(ws: c.Workspace, grams: DataFrame) -> DataFrame:
     return below
 
 
-def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame) -> DataFrame:
+def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, bits: int, parts: int) -> DataFrame:
     """pack_id, row, doc_id, lang, n_bytes, perplexity of every document."""
 
-    def answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
-        langs, grams = known.column("lang").to_pylist(), known.column("gram").to_numpy()
-        steps = np.minimum(65535, np.round(-np.log(known.column("p").to_numpy()) / _STEP)).astype(np.uint16)
-        of: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+    def told(table: pa.Table) -> pa.Table:
+        """The model of a bucket, a row for each language: its n-grams in order, and their steps."""
+        langs, grams = table.column("lang").to_pylist(), table.column("gram").to_numpy()
+        steps = np.minimum(65535, np.round(-np.log(table.column("p").to_numpy()) / _STEP)).astype(np.uint16)
+        out: dict[str, list] = {"lang": [], "grams": [], "steps": []}
         for lang in set(langs):
             own = np.flatnonzero(np.array([x == lang for x in langs]))
             own = own[np.argsort(grams[own])]
-            of[lang] = grams[own], steps[own]
+            for name, value in (("lang", lang), ("grams", _planes(np.diff(grams[own], prepend=0))), ("steps", _planes(steps[own]))):
+                out[name].append(value)
+        return pa.table({"bucket": [table.column("bucket")[0].as_py()] * len(out["lang"]), **out}, schema=pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("grams", pa.binary()), ("steps", pa.binary())]))
+
+    def answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
+        of = {row["lang"]: (_read_codes(row["grams"]), _from_planes(row["steps"], np.uint16)) for row in known.to_pylist()}
         masks = []
         for raw, lang in zip(asked.column("codes"), asked.column("lang").to_pylist(), strict=True):
             have, step = of[lang]
             masks.append(_planes(step[np.searchsorted(have, _read_codes(raw.as_py()))]))
         return pa.table({"bucket": asked.column("bucket"), "pack_id": asked.column("pack_id"), "lang": asked.column("lang"), "mask": pa.array(masks, pa.binary())})
 
-    told = model.select("lang", "bucket", "gram", "p")
-    replies = entries.select("bucket", "pack_id", "lang", "codes").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(answer, "bucket long, pack_id long, lang string, mask binary")
+    cells = model.select("lang", "bucket", "gram", "p").groupBy("bucket").applyInArrow(told, "bucket long, lang string, grams binary, steps binary")
+    # every part of a bucket meets the bucket's model
+    cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    replies = entries.select("bucket", "part", "pack_id", "lang", "codes").groupBy("bucket", "part").cogroup(cells.groupBy("bucket", "part")).applyInArrow(answer, "bucket long, pack_id long, lang string, mask binary")
     by_pack = replies.groupBy("pack_id").agg(F.collect_list(F.struct("lang", "bucket", "mask")).alias("steps"))
     asked = packs.select("pack_id", "pack").join(by_pack.hint("shuffle_hash"), "pack_id", "left")
 
@@ -198,7 +246,7 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame) -> Dat
                 steps = {(x["lang"], x["bucket"]): x["mask"] for x in row["steps"] or ()}
                 for lang, rows, codes, place in _by_language(table):
                     distinct, inverse = np.unique(codes, return_inverse=True)
-                    order, buckets, _ = _in_buckets(distinct)
+                    order, buckets, _ = _in_buckets(distinct, bits)
                     value = np.empty(len(distinct))
                     if len(distinct):
                         value[order] = np.concatenate([_from_planes(steps[lang, b], np.uint16) for b in buckets.tolist()])
@@ -211,26 +259,26 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame) -> Dat
     return asked.mapInArrow(score, "pack_id long, row long, doc_id long, lang string, n_bytes long, perplexity double")
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, deviations: float = 4.5, held_out: int = 5, least: float = 3.0) -> DataFrame:
+def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: int = 5) -> DataFrame:
     """Perplexity of every document under the trusted text of its language, and whether it passes.
 
     docs needs doc_id, text and lang; labels doc_id, quality and toxic; other columns
     are left out, whatever their names.  Trusted are the documents that all their
     labels call quality 1 and none toxic.  One in `held_out` of them, by a hash of
-    doc_id, isn't counted but bounds the threshold of its language: between `least`
-    and `deviations` times the distance from the median that the 0.9 quantile gives
-    for one standard deviation; with BEYOND of them above it, the `quantile` of their
-    steadied perplexities is the upper bound, which fewer would leave to the worst of
-    them.  Of PLACES between the bounds that one is the threshold where the share of
-    kept-out documents above it and the share of rejected documents (quality 0 or
-    toxic by some label) below it add up to least, the highest of equal ones.
-    Steadied: as if USUAL_BYTES of median text stood beside the document's own.
+    doc_id, isn't counted; the threshold of its language is a quantile of the steadied
+    perplexities of these.  Of LEVELS that one is the language's where the share of
+    kept-out documents above it and the share of rejected documents (quality 0 or toxic
+    by some label) up to it add up to least, the highest of equal ones; a document as
+    perplexing as the threshold passes.  Steadied: as if USUAL_BYTES of median text stood
+    beside the document's own.  A quantile above which fewer than BEYOND kept-out
+    documents lie would be the worst of them; it is estimated instead from the 0.5 and
+    0.9 quantiles, as if the losses were normal, with the spread of all languages
+    together, if that is larger, where fewer than FEW documents are kept out.
 
     In a language of whose trusted documents the hash keeps out none, or all, every
-    second one is kept out.  With fewer than FEW kept out, the spread is at least that
-    of all languages together.  Only a language with a single trusted document, or
-    none, has no threshold, and all its documents pass; so have all languages if there
-    are fewer than `held_out` trusted documents altogether.
+    second one is kept out.  Only a language with a single trusted document, or none, has
+    no threshold, and all its documents pass; so have all languages if there are fewer
+    than `held_out` trusted documents altogether.
 
     Null lang is a language of its own.  Null and empty texts have null
     perplexity and don't pass.  Rows that share a doc_id share its labels; labels
@@ -238,21 +286,21 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, quan
     gives no rows.  Without any trusted text every probability is 1 / 256.
 
     Returns pack_id, row (where the document is kept), doc_id, lang, n_bytes,
-    perplexity, steady, threshold, passes.
+    perplexity, steady, threshold, level, passes.
     """
     ws = c.Workspace(spark)
-    return _scores(ws, c.pack_documents(ws, docs, keep=("lang",)), labels, quantile, deviations, held_out, least)
+    return _scores(ws, c.pack_documents(ws, docs, keep=("lang",)), labels, held_out)
 
 
-def quality_filter(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, deviations: float = 4.5, held_out: int = 5, least: float = 3.0) -> DataFrame:
+def quality_filter(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: int = 5) -> DataFrame:
     """The rows of docs that pass quality_scores(), all columns of them.  Text isn't moved for it."""
     ws = c.Workspace(spark)
     packs = c.pack_documents(ws, docs, keep=c.others(docs))
-    passing = _scores(ws, packs, labels, quantile, deviations, held_out, least).filter("passes")
+    passing = _scores(ws, packs, labels, held_out).filter("passes")
     return c.emit_rows(packs, ws.table(c.rows_by_pack(passing), "passing"), docs)
 
 
-def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: float, deviations: float, held_out: int, least: float) -> DataFrame:
+def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, held_out: int) -> DataFrame:
     judged = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     trusted = (F.col("quality") == 1) & (F.col("toxic") == 0)
     marked = judged.select("doc_id", F.when(trusted, F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(held_out)) == 0).alias("held"), ((F.col("quality") == 0) | (F.col("toxic") > 0)).alias("rejected"))
@@ -260,26 +308,42 @@ def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, quantile: floa
     places = ws.table(_some_held(ws.table(c.row_places(packs, "lang string", lang).join(marked.filter("held is not null or rejected"), "doc_id"), "labelled"), held_out), "places")
     learn = ws.table(c.rows_by_pack(places.filter("not held")), "learn")
 
-    entries = ws.bucketed(_entries(packs, learn), "ngrams", "bucket", gather=True)
-    grams = ws.table(_distinct(entries), "grams")
+    size = packs.agg(F.count("*").alias("packs"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
+    bits, parts = bucket_bits(size["bytes"]), max(1, -(-size["packs"] // PART_PACKS))
+    entries = ws.bucketed(_entries(packs, learn, bits, parts), "ngrams", "bucket", gather=True)
+    grams = ws.table(_distinct(ws, entries, parts), "grams")
     model = _probabilities(ws, grams)
-    scores = ws.table(_perplexities(packs, entries, model), "scores")
+    scores = ws.table(_perplexities(packs, entries, model, bits, parts), "scores")
     # short texts say little: so many bytes of a usual text are added to each
     judges = ws.table(scores.filter("n_bytes > 0").join(places.filter("held or rejected").select("pack_id", "row", F.col("held").isNull().alias("rejected")), ["pack_id", "row"]).select("lang", "n_bytes", F.log("perplexity").alias("loss"), "rejected"), "judges")
-    kept_out = judges.filter("not rejected")
-    usual = kept_out.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("loss", 0.5, _EXACT).alias("usual"))
-    steady = lambda loss: (loss * F.col("n_bytes") + F.col("usual") * USUAL_BYTES) / (F.col("n_bytes") + USUAL_BYTES)
-    told = judges.join(F.broadcast(usual), _same("lang", "_lang")).withColumn("steady", steady(F.col("loss")))  # a row for each language
-    quantiles = told.filter("not rejected").groupBy("_lang").agg(F.first("usual").alias("usual"), F.percentile_approx("steady", [0.5, 0.9, quantile], _EXACT).alias("q"), F.count("*").alias("n"))
-    of = lambda q: (q[1] - q[0]) / 1.2816
-    together = told.filter("not rejected").agg(F.percentile_approx(F.col("steady") - F.col("usual"), [0.5, 0.9], _EXACT).alias("all_q"))
-    quantiles = quantiles.crossJoin(F.broadcast(together))  # one row
-    spread = F.when(F.col("n") < FEW, F.greatest(of(F.col("q")), of(F.col("all_q")))).otherwise(of(F.col("q")))
-    high = F.when(F.col("n") * (1 - quantile) >= BEYOND, F.col("q")[2]).otherwise(F.col("q")[0] + spread * deviations)
-    bounds = ws.table(quantiles.select("_lang", "usual", high.alias("high"), F.least(high, F.col("q")[0] + spread * least).alias("low")), "bounds")
-    cut = _chosen(told.drop("_lang", "usual"), bounds)
-    out = scores.join(F.broadcast(cut), _same("lang", "_lang"), "left").withColumn("steady", F.exp(steady(F.log("perplexity"))))
-    return out.withColumns({"threshold": F.exp("most"), "passes": F.coalesce(F.log("steady") <= F.col("most"), F.col("n_bytes") > 0)}).drop("_lang", "usual", "most")
+    cut = _thresholds(ws, judges)
+    out = scores.join(F.broadcast(cut), _same("lang", "_lang"), "left").withColumn("_loss", _steady(F.log("perplexity")))
+    return out.withColumns({"steady": F.exp("_loss"), "threshold": F.exp("most"), "passes": F.coalesce(F.col("_loss") <= F.col("most"), F.col("n_bytes") > 0)}).drop("_lang", "usual", "most", "_loss")
+
+
+def _steady(loss: Column) -> Column:
+    return F.round((loss * F.col("n_bytes") + F.col("usual") * USUAL_BYTES) / (F.col("n_bytes") + USUAL_BYTES), 12)
+
+
+def _thresholds(ws: c.Workspace, judges: DataFrame) -> DataFrame:
+    """_lang, usual, level and most: the median loss of kept-out documents, the level of the quantile and the
+    quantile itself; a row for each language, from judges (lang, n_bytes, loss, rejected)."""
+    usual = judges.filter("not rejected").groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("loss", 0.5, _EXACT).alias("usual"))
+    told = judges.join(F.broadcast(usual), _same("lang", "_lang")).withColumn("steady", _steady(F.col("loss")))  # a row for each language
+    kept_out = told.filter("not rejected")
+    own = kept_out.groupBy("_lang").agg(F.first("usual").alias("usual"), F.count("*").alias("n"), F.percentile_approx("steady", [0.5, 0.9, *LEVELS], _EXACT).alias("q"))
+    # one row: how far all languages' kept-out documents lie from their medians
+    together = kept_out.agg(F.percentile_approx(F.col("steady") - F.col("usual"), [0.5, 0.9], _EXACT).alias("all_q"))
+    spread = lambda q: (F.col(q)[1] - F.col(q)[0]) / _normal(0.9)
+    wide = F.when(F.col("n") < FEW, F.greatest(spread("q"), spread("all_q"))).otherwise(spread("q"))
+    at = [F.when(F.col("n") * (1 - x) >= BEYOND - 1e-9, F.col("q")[k + 2]).otherwise(F.col("q")[0] + wide * _normal(x)) for k, x in enumerate(LEVELS)]
+    places = ws.table(own.join(F.broadcast(together)).select("_lang", "usual", F.array(*at).alias("places")), "places")
+    share = lambda wrong, of: F.coalesce(F.sum((wrong & of).cast("double")) / F.nullif(F.sum(of.cast("double")), F.lit(0.0)), F.lit(0.0))
+    bad, most = F.col("rejected"), lambda k: F.col("places")[k]
+    wrong = [(share(F.col("steady") > most(k), ~bad) + share(F.col("steady") <= most(k), bad)).alias(f"w{k}") for k in range(len(LEVELS))]
+    shares = told.drop("usual").withColumnRenamed("_lang", "_own").join(F.broadcast(places), _same("_own", "_lang")).groupBy("_lang", "usual", "places").agg(*wrong)
+    best = F.array_min(F.array(*(F.struct(F.round(F.col(f"w{k}"), 9).alias("w"), F.lit(-level).alias("level"), most(k).alias("most")) for k, level in enumerate(LEVELS))))
+    return shares.select("_lang", "usual", (-best["level"]).alias("level"), best["most"].alias("most"))
 
 
 def _some_held(labelled: DataFrame, held_out: int) -> DataFrame:
@@ -293,14 +357,3 @@ def _some_held(labelled: DataFrame, held_out: int) -> DataFrame:
     rank = F.dense_rank().over(Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id"))
     anew = trusted.join(F.broadcast(alike), _same("lang", "_lang")).select("pack_id", "row", (rank % 2 == 0).alias("_held"))
     return labelled.join(anew, ["pack_id", "row"], "left").withColumn("held", F.coalesce("_held", "held")).drop("_held", "lang")
-
-
-def _chosen(judges: DataFrame, bounds: DataFrame) -> DataFrame:
-    """_lang, usual and most: of places between low and high the one where trusted above and rejected below are the least shares."""
-    at = lambda k: F.col("high") - (F.col("high") - F.col("low")) * (k / (PLACES - 1))
-    share = lambda wrong, of: F.coalesce(F.sum((wrong & of).cast("double")) / F.nullif(F.sum(of.cast("double")), F.lit(0.0)), F.lit(0.0))
-    bad = F.col("rejected")
-    wrong = [(share(F.col("steady") > at(k), ~bad) + share(F.col("steady") <= at(k), bad)).alias(f"w{k}") for k in range(PLACES)]
-    shares = judges.join(F.broadcast(bounds), _same("lang", "_lang")).groupBy("_lang", "usual", "low", "high").agg(*wrong)
-    best = F.array_min(F.array(*(F.struct(F.col(f"w{k}").alias("w"), F.lit(k).alias("k"), at(k).alias("most")) for k in range(PLACES))))
-    return shares.select("_lang", "usual", best["most"].alias("most"))
