@@ -115,10 +115,33 @@ def test_near_copies(spark, odd_docs):
     assert all(100 * len(a & b) < 75 * len(a | b) for i, a in enumerate(full) for b in full[:i])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_chains_of_near_copies(spark, seed, monkeypatch):
+@pytest.mark.parametrize("hot", [4, 2048])
+def test_templates_under_the_bound(spark, monkeypatch, hot):
+    """Many documents that share most of their text but don't link, a few that do; by whole blocks and by pairs."""
+    for name, value in (("BLOCK_ROWS", 8), ("HOT_ROWS", hot), ("BLOCK_ENTRIES", 3000), ("DENSE_COLUMNS", 32)):
+        monkeypatch.setattr(jj, name, value)
+    rng = random.Random(9)
+    frame = [f"f{k}" for k in range(100)]
+    rows = []
+    for k in range(70):
+        own = [f"o{k}x{j}" for j in range(rng.choice([18, 22, 30]))]
+        text = frame[:60] + own + frame[60:]
+        rows.append((k, " ".join(text)))
+        if k % 9 == 0:
+            text[rng.randrange(len(text))] = "changed"
+            rows.append((1000 + k, " ".join(text)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(d.collect())
+    assert len({x for *_, x in want}) > 50
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join(spark, d).collect()) == want
+
+
+@pytest.mark.parametrize("seed, hot", [(1, 2048), (2, 3)])
+def test_chains_of_near_copies(spark, seed, hot, monkeypatch):
     """Families in which many pairs miss the threshold and only chains connect them; blocks of a few rows."""
     monkeypatch.setattr(jj, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(jj, "HOT_ROWS", hot)
+    monkeypatch.setattr(jj, "BLOCK_ENTRIES", 500)
     rng = random.Random(seed)
     rows = []
     for family in range(4):

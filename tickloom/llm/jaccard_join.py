@@ -13,7 +13,9 @@ one component, and only rows of different components are multiplied after that,
 so a large group of near copies costs one product for each, not one for each pair.
 Products go in blocks of rows and of columns: overlap counts are added up column
 block by column block, and a pair is discarded as soon as what is left of the
-columns can't lift it to its bound.
+columns can't lift it to its bound.  Where few pairs of a block are wanted, only
+these are counted.  Columns that many unlinked rows share (templates) never become
+pairs: their rows are cut into blocks by size, and whole blocks are multiplied.
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ from .components import connected
 from .substring_dedup import PackWords
 
 _WORD, _WINDOW, _SHORT = (21, 0xD6E8FEB86659FD93), 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
-BLOCK_ROWS, BLOCK_COLUMNS = 1024, 8
+#: Rows of a block, entries of the rows that one task multiplies, and parts in which columns are counted.
+BLOCK_ROWS, BLOCK_ENTRIES, BLOCK_COLUMNS = 1024, 1 << 21, 8
+#: Rows still apart in a column from which on it goes by whole blocks; columns counted at once there.
+HOT_ROWS, DENSE_COLUMNS = 2048, 1024
 #: Turns in which a column's rows are multiplied with one of them before all that is left is.
 LEADER_TURNS = 2
 
@@ -136,39 +141,154 @@ def _candidates(packs: DataFrame, kept: DataFrame, size: int, percent: int, ws:
     return ws.table(c.with_replies(packs, {"rows": kept, "counts": counts}).mapInArrow(choose, "uid long, n long, columns array<long>, places long, n_prefix long"), "candidates")
 
 
+def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """overlap >= percent of the union, as a bound on the overlap of rows of n and m columns."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _entries_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's columns start (and the last ends), and the columns end to end."""
+    flat = column.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    starts = flat.offsets.to_numpy().astype(np.int64)
+    return starts - starts[0], flat.values.to_numpy()[starts[0] : starts[-1]]
+
+
+def _wanted_overlaps(starts: np.ndarray, values: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (i, j) of rows link."""
+    kinds, ids = np.unique(values, return_inverse=True)
+    row = np.repeat(np.arange(len(n)), np.diff(starts))
+    key = np.sort(row * np.int64(len(kinds)) + ids)
+    ids = key - row * np.int64(len(kinds))  # each row's, rising
+    size = np.diff(starts)
+    i, j = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+    overlap, alive, least = np.zeros(len(i), np.int64), np.arange(len(i)), _least_overlap(n[i], n[j], percent)
+    cuts = np.linspace(0, len(kinds), BLOCK_COLUMNS + 1).astype(np.int64)
+    edge = [np.searchsorted(key, np.arange(len(n)) * np.int64(len(kinds)) + x) for x in cuts]
+    for k in range(BLOCK_COLUMNS):
+        # the shorter row's columns of this block, looked up in the longer row
+        a, many = edge[k][i[alive]], (edge[k + 1] - edge[k])[i[alive]]
+        pair = np.repeat(np.arange(len(alive)), many)
+        at = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(len(pair))
+        ask = j[alive][pair] * np.int64(len(kinds)) + ids[at]
+        found = np.minimum(np.searchsorted(key, ask), len(key) - 1)
+        overlap[alive] += np.bincount(pair[key[found] == ask], minlength=len(alive))
+        left = np.minimum(starts[i + 1] - edge[k + 1][i], starts[j + 1] - edge[k + 1][j])[alive]
+        alive = alive[overlap[alive] + left >= least[alive]]
+    out = np.zeros(len(i), bool)
+    out[alive] = overlap[alive] >= least[alive]
+    return out
+
+
+def _all_overlaps(starts: np.ndarray, values: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows x link with which rows y, of those apart: a matrix of whole blocks, by dense products of some columns at a time."""
+    size = np.diff(starts)
+    rows = np.r_[x, y]
+    at = np.concatenate([np.arange(starts[r], starts[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
+    which = np.repeat(np.arange(len(rows)), size[rows])
+    kinds, ids = np.unique(values[at], return_inverse=True)
+    upper = which < len(x)
+    p, q = np.bincount(ids[upper], minlength=len(kinds)), np.bincount(ids[~upper], minlength=len(kinds))
+    # columns of both blocks, those of most products first
+    order = np.argsort(-(p * q), kind="stable")[: int(np.count_nonzero(p * q))]
+    place = np.full(len(kinds), -1)
+    place[order] = np.arange(len(order))
+    spot = place[ids]
+    which, spot = which[spot >= 0], spot[spot >= 0]
+    turn = np.argsort(spot, kind="stable")
+    which, spot = which[turn], spot[turn]
+    overlap = np.zeros((len(x), len(y)), np.float32)
+    left = np.bincount(which, minlength=len(rows)).astype(np.int64)
+    least = _least_overlap(n[x][:, None], n[y][None, :], percent)
+    alive = apart & (np.minimum(left[: len(x)][:, None], left[len(x) :][None, :]) >= least)
+    for low in range(0, len(order), DENSE_COLUMNS):
+        if not alive.any():
+            break
+        a, b = np.searchsorted(spot, [low, low + DENSE_COLUMNS])
+        block = np.zeros((len(rows), min(DENSE_COLUMNS, len(order) - low)), np.float32)
+        block[which[a:b], spot[a:b] - low] = 1
+        overlap += block[: len(x)] @ block[len(x) :].T
+        left -= np.bincount(which[a:b], minlength=len(rows))
+        alive &= overlap + np.minimum(left[: len(x)][:, None], left[len(x) :][None, :]) >= least
+    return alive & (overlap >= least)
+
+
+def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Places of links that connect what all of them connect, fewer than n."""
+    parent, out = list(range(n)), []
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for place, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[a] = b
+            out.append(place)
+    return out
+
+
+LINKS = "a long, b long"
+
+
 def _multiply(ws: c.Workspace, rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among pairs (a, b), by products of row a with blocks of rows b."""
-    sized = pairs.groupBy("a").agg(F.count("*").alias("wide"))
-    salted = pairs.join(sized, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("wide") / BLOCK_ROWS)))
-    heads = salted.select("a", "block").distinct().join(rows.select(F.col("uid").alias("a"), "n", "columns"), "a").select("a", "block", F.col("a").alias("uid"), "n", "columns")
-    others = salted.select("a", "block", "b").join(rows.select(F.col("uid").alias("b"), "n", "columns"), "b").select("a", "block", F.col("b").alias("uid"), "n", "columns")
+    """Links (a, b) among pairs (a, b, entries: the columns of both rows), as products of blocks of rows a with the rows b they meet.
+
+    A block of rows has about BLOCK_ENTRIES columns to look at; rows with more partners
+    than that are in several blocks.
+    """
+    total = pairs.agg(F.sum("entries")).first()[0] or 0
+    blocks = -(-total // BLOCK_ENTRIES) or 1
+    wide = pairs.groupBy("a").agg(F.sum("entries").alias("all")).filter(F.col("all") > BLOCK_ENTRIES).select("a", F.ceil(F.col("all") / BLOCK_ENTRIES).alias("parts"))
+    cut = pairs.join(wide, "a", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("block"), F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
+    cut = ws.table(cut, "cut")
+    ends = cut.select("block", "part", F.col("a").alias("uid")).union(cut.select("block", "part", F.col("b").alias("uid"))).distinct()
+    filled = ends.join(rows.select("uid", "n", "columns"), "uid").select(F.col("block").alias("_block"), F.col("part").alias("_part"), "uid", "n", "columns")
+
+    def product(key, wanted: pa.Table, table: pa.Table) -> pa.Table:
+        uid = table.column("uid").to_numpy()
+        turn = np.argsort(uid)
+        place = lambda x: turn[np.searchsorted(uid[turn], wanted.column(x).to_numpy())]
+        i, j = place("a"), place("b")
+        linked = _wanted_overlaps(*_entries_of(table.column("columns")), table.column("n").to_numpy(), i, j, percent)
+        return pa.table({"a": uid[i[linked]], "b": uid[j[linked]]})
+
+    return ws.table(cut.groupBy("block", "part").cogroup(filled.groupBy("_block", "_part")).applyInArrow(product, LINKS), "links")
+
+
+def _multiply_blocks(ws: c.Workspace, rows: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """Links that connect whatever rows connect that share one of cells' columns (uid, n, col, label), as products of whole blocks.
+
+    Rows of one size band (no link goes further than to the next band) are dealt to blocks
+    of BLOCK_ROWS.  Blocks that share a column meet, once, however many columns they share.
+    A task holds two blocks; only links that connect something new leave it.
+    """
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("long")
+    hot = ws.table(cells.select("uid", "label", "n", band.alias("band")).distinct(), "hot")
+    counts = hot.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    placed = ws.table(hot.join(counts, "band").select("uid", "label", "band", F.pmod(F.xxhash64("uid"), F.col("blocks")).alias("block")), "placed")
+    where = ws.table(cells.select("uid", "col").join(placed, "uid").select("col", "band", "block").distinct(), "where")
+    x, y = where.alias("x"), where.alias("y")
+    up = (F.col("y.band") == F.col("x.band") + 1) | ((F.col("y.band") == F.col("x.band")) & (F.col("y.block") >= F.col("x.block")))
+    meet = ws.table(x.join(y, "col").filter(up).select(*(F.col(f"{s}.{k}").alias(f"{s}_{k}") for s in "xy" for k in ("band", "block"))).distinct(), "meet")
+    full = placed.join(rows.select("uid", "n", "columns"), "uid")
+    key = ["x_band", "x_block", "y_band", "y_block"]
+    sides = [meet.join(full.withColumnsRenamed({"band": f"{s}_band", "block": f"{s}_block"}), [f"{s}_band", f"{s}_block"]).select(*key, F.lit(s == "x").alias("upper"), "uid", "label", "n", "columns") for s in "xy"]
 
     def product(table: pa.Table) -> pa.Table:
-        a = table.column("a")[0].as_py()
-        uid, n = table.column("uid").to_numpy(), table.column("n").to_numpy()
-        columns = table.column("columns").combine_chunks()
-        columns = columns.chunk(0) if isinstance(columns, pa.ChunkedArray) else columns
-        starts = columns.offsets.to_numpy()
-        values = columns.values.to_numpy()
-        head = int(np.flatnonzero(uid == a)[0])
-        mine = np.sort(values[starts[head] : starts[head + 1]])
-        # rows and head meet block by block of the head's columns
-        row_of = np.repeat(np.arange(len(uid)), np.diff(starts))
-        at = np.searchsorted(mine, values[starts[0] : starts[-1]])
-        hit = (at < len(mine)) & (mine[np.minimum(at, len(mine) - 1)] == values[starts[0] : starts[-1]])
-        row_of, at = row_of[hit], at[hit]
-        overlap, alive = np.zeros(len(uid), np.int64), uid != a
-        both = n[head] + n
-        least = -(-percent * both // (100 + percent))  # overlap >= p * union, as a bound on overlap
-        cuts = np.linspace(0, len(mine), BLOCK_COLUMNS + 1).astype(np.int64)
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            block = (at >= i) & (at < j) & alive[row_of]
-            overlap += np.bincount(row_of[block], minlength=len(uid))
-            alive &= overlap + np.minimum(len(mine) - j, n) >= least
-        linked = alive & (100 * overlap >= percent * (both - overlap))
-        return pa.table({"a": pa.array([a] * int(linked.sum()), pa.int64()), "b": pa.array(uid[linked])})
-
-    return ws.table(heads.union(others).groupBy("a", "block").applyInArrow(product, "a long, b long"), "links")
+        uid, label, upper = (table.column(k).to_numpy() for k in ("uid", "label", "upper"))
+        x, y = np.flatnonzero(upper), np.flatnonzero(~upper)
+        apart = label[x][:, None] != label[y][None, :]
+        i, j = np.nonzero(_all_overlaps(*_entries_of(table.column("columns")), table.column("n").to_numpy(), x, y, apart, percent))
+        a, b = uid[x[i]], uid[y[j]]
+        ends, at = np.unique(np.r_[a, b], return_inverse=True)
+        few = _spanning(len(ends), at[: len(a)], at[len(a) :])
+        return pa.table({"a": a[few], "b": b[few]})
+
+    return ws.table(sides[0].union(sides[1]).groupBy(*key).applyInArrow(product, LINKS), "block_links")
 
 
 def _links(ws: c.Workspace, rows: DataFrame, percent: int) -> DataFrame:
@@ -181,15 +301,18 @@ def _links(ws: c.Workspace, rows: DataFrame, percent: int) -> DataFrame:
         rank = F.col("place") if turn == 0 else F.xxhash64("uid", F.lit(turn))
         leader = apart.groupBy("col").agg(F.min(F.struct(rank.alias("rank"), "uid", "n", "place", "label")).alias("x")).select("col", "x.*")
         pairs = leader.alias("x").join(apart.alias("y"), "col").filter((F.col("x.label") != F.col("y.label")) & fits("x", "y"))
-        more = _multiply(ws, rows, ws.table(pairs.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct(), "pairs"), percent)
+        more = _multiply(ws, rows, ws.table(pairs.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"), (F.col("x.n") + F.col("y.n")).alias("entries")).distinct(), "pairs"), percent)
         found = more if found is None else found.union(more)
         told = cells.join(connected(ws, found), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
         # columns whose rows aren't all of one component yet
         mixed = told.groupBy("col").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("col")
         apart = ws.table(told.join(mixed, "col"), "apart")
-    # whatever is still apart, each with each: this makes the result exact
-    pairs = apart.alias("x").join(apart.alias("y"), "col").filter((F.col("x.label") < F.col("y.label")) & fits("x", "y")).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    return found.union(_multiply(ws, rows, ws.table(pairs, "pairs"), percent))
+    # whatever is still apart, each with each, makes the result exact: pairs where few rows share a column, else blocks
+    many = ws.table(apart.groupBy("col").agg(F.count("*").alias("rows")).filter(F.col("rows") > HOT_ROWS).select("col"), "many")
+    few = apart.join(many, "col", "left_anti")
+    pairs = few.alias("x").join(few.alias("y"), "col").filter((F.col("x.label") < F.col("y.label")) & fits("x", "y")).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"), (F.col("x.n") + F.col("y.n")).alias("entries")).distinct()
+    found = found.union(_multiply(ws, rows, ws.table(pairs, "pairs"), percent))
+    return found if many.isEmpty() else found.union(_multiply_blocks(ws, rows, apart.join(many, "col", "left_semi"), percent))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:

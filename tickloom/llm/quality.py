@@ -39,7 +39,7 @@ PART_PACKS = 512
 #: Bytes of median text by which perplexities are steadied; accuracy of the quantiles.
 USUAL_BYTES, _EXACT = 64, 100_000
 #: Levels of the quantile that is a language's threshold.
-LEVELS = tuple(x / 1000 for x in range(950, 1000, 5))
+LEVELS = tuple(x / 1000 for x in range(980, 1000, 5))
 #: Kept-out documents that must lie above a quantile for it to count.
 BEYOND = 2
 #: Kept-out documents whose spread alone isn't trusted if they are fewer.
