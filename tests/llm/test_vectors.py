@@ -16,6 +16,9 @@ def small_parts(monkeypatch):
     monkeypatch.setattr(vs, "BLOCK_ROWS", 8)
     monkeypatch.setattr(vs, "LEAF_ROWS", 16)
     monkeypatch.setattr(vs, "FLAT_LEAF_ROWS", 16)
+    monkeypatch.setattr(vs, "SAMPLE_ROWS", 128)
+    monkeypatch.setattr(vs, "PAGE_BOXES", 2)
+    monkeypatch.setattr(vs, "MERGED", 2)
 
 
 def vectors(spark, n=400, d=12, seed=0):
@@ -69,6 +72,32 @@ def test_few_and_no_candidates(spark):
         assert search(spark, d.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_far_shards_are_left_out(spark, monkeypatch):
+    """Clusters far apart: a block's queries go to few shards, and the results are those of brute force."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(10 * rng.normal(size=(8, 6)), 150, axis=0) + 0.1 * rng.normal(size=(1200, 6))
+    x[700:900] = x[700]  # more equal vectors than a shard takes
+    d = spark.createDataFrame([(k, x[k].tolist()) for k in range(1200)], "vec_id long, vector array<double>").repartition(3)
+    shards = []
+    monkeypatch.setattr(vs.c.Workspace, "table", lambda self, df, name, put=vs.c.Workspace.table: (shards.append((name, put(self, df, name))), shards[-1][1])[1])
+    got = exact_top_k(spark, d, F.col("vec_id") % 20 == 0, 5).collect()
+    of = {}
+    for name, df in shards:
+        of.setdefault(name, df)
+    assert of["rest"].count() < 0.6 * of["first"].count() * of["trees"].count()
+    q = np.floor(64 * x)
+    for k in range(0, 1200, 20):
+        s = q @ q[k]
+        want = [(int(i), int(s[i])) for i in np.lexsort((np.arange(1200), -s)) if i != k][:5]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == k), key=lambda r: r["rank"])] == want
+
+
+def test_lengths_that_doubles_cannot_hold(spark):
+    d = spark.createDataFrame([(0, [1e7, 1.0]), (1, [1.0, 1.0])], "vec_id long, vector array<double>")
+    with pytest.raises(ValueError, match="too long"):
+        exact_top_k(spark, d, F.col("vec_id") == 0)
+
+
 def test_repeated_rows(spark):
     d = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, vector array<double>")
     got = exact_top_k(spark, d, F.col("vec_id") % 20 == 0, 5).collect()
