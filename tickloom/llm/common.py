@@ -70,15 +70,15 @@ class Workspace:
     def buckets(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def bucketed(self, df: DataFrame, name: str, key: str, gather: bool = False) -> DataFrame:
+    def bucketed(self, df: DataFrame, name: str, *key: str, gather: bool = False) -> DataFrame:
         """df as a table bucketed by key, with as many buckets as shuffle partitions.
 
         gather: rows are shuffled once, so that a bucket is one file; else each task writes its own.
         """
         table = f"tickloom_{name}_{uuid.uuid4().hex}"
         n = self.buckets()
-        df = df.repartition(n, key) if gather else df
-        df.write.format("orc").bucketBy(n, key).option("compression", "none").option("path", f"{self.path}/{table}").saveAsTable(table)
+        df = df.repartition(n, *key) if gather else df
+        df.write.format("orc").bucketBy(n, *key).option("compression", "none").option("path", f"{self.path}/{table}").saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 

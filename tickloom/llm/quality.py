@@ -164,7 +164,8 @@ def _distinct(ws: c.Workspace, entries: DataFrame, parts: int) -> DataFrame:
         out = [pa.table({"lang": pa.array([lang] * len(codes), pa.string()), "bucket": np.full(len(codes), bucket), "gram": codes, "n": n}) for lang, codes, n in _merged(table)]
         return pa.concat_tables(out)
 
-    return entries.groupBy("bucket").applyInArrow(reduce, "lang string, bucket long, gram long, n long")
+    # one part is left; entries stand by bucket and part, so this moves nothing where there is no more than one
+    return entries.groupBy("bucket", "part").applyInArrow(reduce, "lang string, bucket long, gram long, n long")
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -310,7 +311,7 @@ def _scores(ws: c.Workspace, packs: DataFrame, labels: DataFrame, held_out: int)
 
     size = packs.agg(F.count("*").alias("packs"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
     bits, parts = bucket_bits(size["bytes"]), max(1, -(-size["packs"] // PART_PACKS))
-    entries = ws.bucketed(_entries(packs, learn, bits, parts), "ngrams", "bucket", gather=True)
+    entries = ws.bucketed(_entries(packs, learn, bits, parts), "ngrams", "bucket", "part", gather=True)
     grams = ws.table(_distinct(ws, entries, parts), "grams")
     model = _probabilities(ws, grams)
     scores = ws.table(_perplexities(packs, entries, model, bits, parts), "scores")
