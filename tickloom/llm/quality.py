@@ -182,7 +182,7 @@ def _same(a: str, b: str) -> Column:
 
 
 def _probabilities(ws: c.Workspace, grams: DataFrame) -> DataFrame:
-    """lang, bucket, gram and probability of the last byte after the others, for every n-gram of the corpus.
+    """lang, bucket, gram and step (of minus the log-probability of the last byte after the others) of every n-gram of the corpus.
 
     Orders from 1 on: p(w | h) = (n(hw) - D(n)) / n(h) + g(h) p(w | h'), where n
     counts occurrences for the highest order and, below it, the bytes seen before.
@@ -205,7 +205,9 @@ def _probabilities(ws: c.Workspace, grams: DataFrame) -> DataFrame:
             last = below.select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), F.col("p").alias("low"))
             own = own.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(last, _same("lang", "_lang") & (F.col("short") == F.col("_gram"))).drop("_lang", "_gram", "short")
         p = F.when(F.col("all") > 0, (F.col("n") - F.col("taken")) / F.col("all") + F.col("freed") / F.col("all") * F.col("low")).otherwise(F.col("low"))
-        below = ws.table(own.select("lang", "gram", p.alias("p"), *kept), f"model_{k}")
+        # what leaves the highest order is what the packs will be told
+        told = p.alias("p") if k < ORDER else F.least(F.lit(65535.0), F.round(-F.log(p) / _STEP)).cast("int").alias("step")
+        below = ws.table(own.select("lang", "gram", told, *kept), f"model_{k}")
     return below
 
 
@@ -215,7 +217,7 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, bits:
     def told(table: pa.Table) -> pa.Table:
         """The model of a bucket, a row for each language: its n-grams in order, and their steps."""
         langs, grams = table.column("lang").to_pylist(), table.column("gram").to_numpy()
-        steps = np.minimum(65535, np.round(-np.log(table.column("p").to_numpy()) / _STEP)).astype(np.uint16)
+        steps = table.column("step").to_numpy().astype(np.uint16)
         out: dict[str, list] = {"lang": [], "grams": [], "steps": []}
         for lang in set(langs):
             own = np.flatnonzero(np.array([x == lang for x in langs]))
@@ -232,7 +234,7 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, bits:
             masks.append(_planes(step[np.searchsorted(have, _read_codes(raw.as_py()))]))
         return pa.table({"bucket": asked.column("bucket"), "pack_id": asked.column("pack_id"), "lang": asked.column("lang"), "mask": pa.array(masks, pa.binary())})
 
-    cells = model.select("lang", "bucket", "gram", "p").groupBy("bucket").applyInArrow(told, "bucket long, lang string, grams binary, steps binary")
+    cells = model.select("lang", "bucket", "gram", "step").groupBy("bucket").applyInArrow(told, "bucket long, lang string, grams binary, steps binary")
     # every part of a bucket meets the bucket's model
     cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     replies = entries.select("bucket", "part", "pack_id", "lang", "codes").groupBy("bucket", "part").cogroup(cells.groupBy("bucket", "part")).applyInArrow(answer, "bucket long, pack_id long, lang string, mask binary")
