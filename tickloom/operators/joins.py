@@ -52,15 +52,20 @@ def as_of(left: DataFrame, right: DataFrame, value: str, time: str = "time_ms",
 
 
 def previous_session(bars: DataFrame, minute: Column, date: Column, start: int, end: int, prefix: str, key: str = "symbol") -> DataFrame:
-    """High and low of the session before each bar's own, by session date; a session may pass midnight."""
+    """High and low of the session before each bar's own, by session date; a session may pass midnight.
+
+    By windows over session dates, so the bars are used once.
+    """
     over_night = start >= end
     active = ((minute >= start) | (minute < end)) if over_night else ((minute >= start) & (minute < end))
     own = F.when(minute >= start, date).otherwise(F.date_sub(date, 1)) if over_night else date
-    dated = bars.withColumns({"_session": own, "_active": active})
-    levels = dated.filter("_active").groupBy(key, "_session").agg(F.max("high").alias("_h"), F.min("low").alias("_l"))
-    order = Window.partitionBy(key).orderBy("_session")
-    before = levels.select(key, "_session", F.lag("_h").over(order).alias(f"{prefix}_prev_high"), F.lag("_l").over(order).alias(f"{prefix}_prev_low"))
-    return dated.join(before, [key, "_session"], "left").drop("_session", "_active")
+    inside = F.when(active, F.struct(F.col("high").alias("h"), F.col("low").alias("l")))
+    dated = bars.withColumns({"_day": F.unix_date(own), "_in": inside})
+    session = Window.partitionBy(key, "_day")
+    level = F.when(F.count("_in").over(session) > 0, F.struct(F.max("_in.h").over(session).alias("h"), F.min("_in.l").over(session).alias("l")))
+    before = F.last("_level", ignorenulls=True).over(Window.partitionBy(key).orderBy("_day").rangeBetween(Window.unboundedPreceding, -1))
+    out = dated.withColumn("_level", level).withColumn("_before", F.when(F.col("_level").isNotNull(), before))
+    return out.withColumns({f"{prefix}_prev_high": F.col("_before.h"), f"{prefix}_prev_low": F.col("_before.l")}).drop("_day", "_in", "_level", "_before")
 
 
 def first_known(*columns: str) -> Column:
@@ -91,9 +96,14 @@ def pairs_of(rows: DataFrame, order: str, differs: str, columns: Sequence[str])
     return a.join(F.broadcast(b), (F.col(f"{order}_a") < F.col(f"{order}_b")) & (F.col(f"{differs}_a") != F.col(f"{differs}_b")))
 
 
-def leave_one_out(rows: DataFrame, model: str, models: DataFrame) -> DataFrame:
-    """All rows of other models, once for each model left out; models is the short list of them."""
-    return rows.join(F.broadcast(models.select(F.col(model).alias("left_out"))), F.col(model) != F.col("left_out"))
+def leave_one_out(rows: DataFrame, model: str, sums: dict[str, Column]) -> DataFrame:
+    """Sums over the rows of all other models, for each model left out: the totals less its own; a model alone gives no row.
+
+    No row is copied.  sums are by name; a mean is the quotient of two of them.
+    """
+    own = rows.groupBy(F.col(model).alias("left_out")).agg(F.count("*").alias("rows"), *(F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in sums.items()))
+    whole = own.agg(*(F.sum(n).alias(f"_{n}") for n in ("rows", *sums)))  # one row
+    return own.join(F.broadcast(whole)).filter("_rows > rows").select("left_out", *((F.col(f"_{n}") - F.col(n)).alias(n) for n in ("rows", *sums)))
 
 
 def common_to(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tickloom.sources.ticks import by_symbol
+from tickloom.shipping import ship
+from tickloom.sources.ticks import by_symbol, in_chunks
 
 #: The session regimes of a sample, first match wins: name of the bound, first and last hour.
 SESSIONS = ((0, 7, 12), (1, 13, 17), (2, 23, 28))
@@ -16,33 +19,56 @@ def ahead(a: int, b: int) -> Window:
     return by_symbol().rowsBetween(a, b)
 
 
-def samples(ticks: DataFrame, window: int = 512, stride: int = 64, horizon: int = 128) -> DataFrame:
+SAMPLE = "symbol string, t_index long, entry_time_ms long, entry_mid double, exit_mid double, entry_spread double, future_spread double, future_sd double, ret2 double, rets long, path_high double, path_low double"
+#: Samples whose windows are laid side by side at once.
+_AT_ONCE = 2048
+
+
+def samples(ticks: DataFrame, window: int = 512, stride: int = 64, horizon: int = 128, chunk_rows: int = 1 << 16, width_ms: int = 3_600_000) -> DataFrame:
     """One row for each window of `window` ticks that `horizon` ticks follow, every `stride` ticks.
 
     t_index is the first tick of the window; entry is the tick after the window, exit
     the last of the horizon.  ret2 is the sum of squared log returns inside the window.
+    A sample belongs to the chunk its last tick lies in, and only the windows of samples
+    are looked at, not those of all ticks.
     """
-    order = by_symbol()
-    step = F.log((F.col("mid") + 1e-8) / (F.lag("mid").over(order) + 1e-8))
-    out = ticks.withColumns({"k": F.row_number().over(order) - 1, "spread": F.col("ask") - F.col("bid"), "ret": step})
-    future = ahead(window, window + horizon - 1)
-    out = out.withColumns(
-        {
-            "t_index": F.col("k").cast("long"),
-            "entry_time_ms": F.lead("time_ms", window).over(order),
-            "entry_mid": F.lead("mid", window).over(order),
-            "exit_mid": F.lead("mid", window + horizon - 1).over(order),
-            "entry_spread": F.lead("spread", window).over(order),
-            "future_spread": F.avg("spread").over(future),
-            "future_sd": F.stddev_pop("mid").over(future),
-            "future_n": F.count("mid").over(future),
-            "ret2": F.sum(F.col("ret") * F.col("ret")).over(ahead(1, window - 1)),
-            "rets": F.count("ret").over(ahead(1, window - 1)),
-            "path_high": F.max("mid").over(future),
-            "path_low": F.min("mid").over(future),
-        }
-    )
-    return out.filter((F.col("future_n") == horizon) & (F.col("k") % stride == 0)).drop("k", "ask", "bid", "mid", "ask_vol", "bid_vol", "spread", "ret", "seq", "time_ms", "future_n")
+    reach = window + horizon - 1
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("time_ms", "ascending"), ("seq", "ascending")])
+        time, mid, ask, bid = (table.column(x).to_numpy() for x in ("time_ms", "mid", "ask", "bid"))
+        spread, step = ask - bid, np.diff(np.log(mid + 1e-8), prepend=np.nan) ** 2
+        first = table.column("rows_before")[0].as_py()
+        start = first + np.arange(len(mid)) - reach
+        end = np.flatnonzero(table.column("inside").to_numpy() & (start >= 0) & (start % stride == 0))
+        parts = []
+        for at in (end[k : k + _AT_ONCE] for k in range(0, len(end), _AT_ONCE)):
+            path = at[:, None] + np.arange(1 - horizon, 1)
+            entry, ahead = path[:, 0], mid[path]
+            inner = at[:, None] + np.arange(1 - reach, 1 - horizon)
+            parts.append(
+                pa.table(
+                    {
+                        "symbol": table.column("symbol").take(pa.array(at)), "t_index": start[at], "entry_time_ms": time[entry], "entry_mid": mid[entry], "exit_mid": mid[at], "entry_spread": spread[entry],
+                        "future_spread": spread[path].mean(axis=1), "future_sd": ahead.std(axis=1), "ret2": step[inner].sum(axis=1), "rets": np.full(len(at), window - 1), "path_high": ahead.max(axis=1), "path_low": ahead.min(axis=1),
+                    }
+                )
+            )
+        return pa.concat_tables(parts) if parts else pa.table({x: pa.array([], t) for x, t in _SAMPLE_TYPES.items()})
+
+    ship(ticks.sparkSession)
+    chunks = in_chunks(ticks.select("symbol", "seq", "time_ms", "mid", "ask", "bid"), reach, chunk_rows, width_ms)
+    return chunks.groupBy("symbol", "chunk").applyInArrow(run, SAMPLE)
+
+
+_SAMPLE_TYPES = {x.split()[0]: {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[x.split()[1]] for x in SAMPLE.split(", ")}
+
+
+def numbered(ticks: DataFrame, chunk_rows: int = 1 << 16, width_ms: int = 3_600_000) -> DataFrame:
+    """ticks with pos, the place in the symbol from 0; chunks are numbered side by side."""
+    over = Window.partitionBy("symbol", "chunk").orderBy("time_ms", "seq")
+    own = in_chunks(ticks, 0, chunk_rows, width_ms).withColumn("pos", F.col("rows_before") + F.row_number().over(over) - 1)
+    return own.filter("inside").drop("chunk", "inside", "rows_before")
 
 
 def soft_direction(move: Column, threshold: Column, floor: float = 0.4) -> Column:
@@ -64,7 +90,7 @@ def triple_barrier(ticks: DataFrame, sampled: DataFrame, window: int, horizon: i
     barred = sampled.withColumn("barrier", F.greatest(F.col("entry_mid") * sigma * (horizon**0.5) * k, cost_mult * F.col("future_spread")))
     touching = barred.filter((F.col("path_high") >= F.col("entry_mid") + F.col("barrier")) | (F.col("path_low") <= F.col("entry_mid") - F.col("barrier")))
     # a horizon covers few blocks of positions; ticks meet samples in equal blocks
-    at = ticks.select("symbol", (F.row_number().over(by_symbol()) - 1).cast("long").alias("pos"), F.col("mid").alias("path_mid")).withColumn("block", F.floor(F.col("pos") / horizon))
+    at = numbered(ticks.select("symbol", "seq", "time_ms", F.col("mid").alias("path_mid"))).select("symbol", "pos", "path_mid").withColumn("block", F.floor(F.col("pos") / horizon))
     spans = touching.select("symbol", "t_index", "entry_mid", "barrier").withColumn("block", F.explode(F.sequence(F.floor((F.col("t_index") + window) / horizon), F.floor((F.col("t_index") + window + horizon - 1) / horizon))))
     inside = (F.col("pos") >= F.col("t_index") + window) & (F.col("pos") < F.col("t_index") + window + horizon)
     hit = F.abs(F.col("path_mid") - F.col("entry_mid")) >= F.col("barrier")

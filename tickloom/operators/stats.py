@@ -127,16 +127,23 @@ def benjamini_hochberg(rows: DataFrame, p: str = "p", key: Sequence[str] = ()) -
     return out.withColumns({"q_bh": up, "q_holm": down}).drop("_r", "_m")
 
 
-def empirical_p(rows: DataFrame, null: DataFrame, x: str, value: str) -> DataFrame:
+def empirical_p(rows: DataFrame, null: DataFrame, x: str, value: str, bins: int = 4096) -> DataFrame:
     """p_share: share of null values at or above x; p_add_one: (1 + their number) / (1 + all).
 
-    One sort of both together; a running count replaces the join by inequality.
+    Values are cut into bins between the null's extremes; a running count over the bins,
+    which are few, and one inside each bin replace the join by inequality and the sort of
+    everything in one task.
     """
-    both = rows.select(F.col("id"), F.col(x).alias("v"), F.lit(1).alias("is_row")).unionByName(null.select(F.lit(None).cast("long").alias("id"), F.col(value).alias("v"), F.lit(0).alias("is_row")))
-    above = F.sum(1 - F.col("is_row")).over(Window.partitionBy().orderBy(F.col("v").desc(), "is_row").rowsBetween(Window.unboundedPreceding, 0))
-    n = null.count()
-    out = both.withColumn("n_above", above).filter("is_row = 1")
-    return out.select("id", F.col("v").alias(x), "n_above", (F.col("n_above") / float(max(n, 1))).alias("p_share"), ((1 + F.col("n_above")) / (1.0 + n)).alias("p_add_one"))
+    whole = null.filter(F.col(value).isNotNull()).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_all"))  # one row
+    at = F.floor((F.col("v") - F.col("_low")) / F.greatest((F.col("_high") - F.col("_low")) / bins, F.lit(1e-300)))
+    both = rows.select(F.col("id"), F.col(x).alias("v"), F.lit(1).alias("is_row")).unionByName(null.filter(F.col(value).isNotNull()).select(F.lit(None).cast("long").alias("id"), F.col(value).alias("v"), F.lit(0).alias("is_row")))
+    both = both.join(F.broadcast(whole)).withColumn("bin", F.least(F.greatest(F.coalesce(at, F.lit(0)), F.lit(-1)), F.lit(bins)).cast("int"))
+    # bins -1 and `bins` are for rows beyond the null's values
+    bin_order = Window.partitionBy().orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    higher = both.groupBy("bin").agg(F.sum(1 - F.col("is_row")).alias("_n")).select("bin", F.coalesce(F.sum("_n").over(bin_order), F.lit(0)).alias("_higher"))
+    inside = F.sum(1 - F.col("is_row")).over(Window.partitionBy("bin").orderBy(F.col("v").desc(), "is_row").rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("_inside", inside).filter("is_row = 1").join(higher, "bin").withColumn("n_above", F.col("_inside") + F.col("_higher"))
+    return out.select("id", F.col("v").alias(x), "n_above", (F.col("n_above") / F.greatest(F.col("_all"), F.lit(1)).cast("double")).alias("p_share"), ((1 + F.col("n_above")) / (1.0 + F.col("_all"))).alias("p_add_one"))
 
 
 def fold_stability(rows: DataFrame, key: Sequence[str], value: str) -> DataFrame:

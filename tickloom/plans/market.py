@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -12,6 +13,7 @@ from tickloom.plans.feature_twins import QUOTES, features_sql
 from tickloom.plans.registry import TICKS, query, rounded, rounded_sql
 from tickloom.plans.scans import table
 from tickloom.sources import ticks as t
+from tickloom.streaming import bars as streaming
 
 HOUR, DAY = 3_600_000, 86_400_000
 
@@ -433,3 +435,47 @@ def regimes(spark, sf_dir):
     return recursive.regime_filter(bars.select("symbol", "bucket_ms", "close", "range"), ["range"], np.full((3, 3), 0.05) + 0.85 * np.eye(3), np.array([[2.0], [8.0], [20.0]]), 4.0)
 
 
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream over all files there are gives in the end."""
+    name = f"stream_{uuid.uuid4().hex}"
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming.event_stream(spark, f"{sf_dir}/events*.parquet")
+
+
+@query(rounded_sql(f"WITH {TICKS}, {bars_sql(DAY)} SELECT symbol, bucket_ms, open, high, low, close, spread, ticks FROM bars", "open high low close spread"))
+def stream_bars(spark, sf_dir):
+    """Daily bars of the events as a stream, all windows given."""
+    return rounded(_drained(streaming.streaming_bars(_stream(spark, sf_dir), "1 day"), "complete").withColumn("bucket_ms", F.unix_millis("start")).drop("start"))
+
+
+@query(rounded_sql(f"""WITH {TICKS}, g AS (SELECT *, CASE WHEN time_ms - lag(time_ms) OVER w < {HOUR // 2} THEN 0 ELSE 1 END AS fresh FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY time_ms, seq)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY time_ms, seq) AS k FROM g)
+SELECT symbol, min(time_ms) AS start_ms, max(time_ms) + {HOUR // 2} AS end_ms, count(*) AS ticks, min(mid) AS low, max(mid) AS high FROM s GROUP BY symbol, k""", "low high"))
+def stream_sessions(spark, sf_dir):
+    """Runs of ticks without a pause of half an hour, of the events as a stream."""
+    out = _drained(streaming.streaming_sessions(_stream(spark, sf_dir), "30 minutes"), "complete")
+    return rounded(out.withColumns({"start_ms": F.unix_millis("start"), "end_ms": F.unix_millis("end")}).drop("start", "end"))
+
+
+@query(rounded_sql(f"""WITH {TICKS}, p AS (SELECT *, unnest([0, 1]) AS k FROM ticks) SELECT symbol, (time_ms // {DAY} - k) * {DAY} AS start_ms, avg(mid) AS mean, count(*) AS ticks FROM p GROUP BY ALL""", "mean"))
+def stream_sliding_means(spark, sf_dir):
+    """Means over two days, every day, of the events as a stream."""
+    return rounded(_drained(streaming.sliding_means(_stream(spark, sf_dir), "2 days", "1 day"), "complete").withColumn("start_ms", F.unix_millis("start")).drop("start"))
+
+
+@query(rounded_sql(f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, seq, mid, row_number() OVER (PARTITION BY symbol ORDER BY time_ms, seq) AS k FROM ticks),
+e AS (SELECT symbol, seq, k, mid AS ema FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.seq, n.k, e.ema + (n.mid - e.ema) * (2 / 17.0) FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1)
+SELECT symbol, seq, ema AS ema_16 FROM e""", "ema_16"))
+def stream_means(spark, sf_dir):
+    """Exponential means whose state outlives the micro-batches."""
+    from tickloom.streaming import stateful
+
+    return rounded(_drained(stateful.streaming_ema(_stream(spark, sf_dir), (16,)), "append").select("symbol", "seq", "ema_16"))

@@ -356,8 +356,8 @@ SELECT symbol AS left_out, count(*) AS trades, sum(pnl) AS pnl, avg(CAST(pnl > 0
 def leave_one_out(spark, sf_dir):
     """All trades but one symbol's, for each symbol."""
     t = ledger(spark, sf_dir)
-    out = joins.leave_one_out(t, "symbol", t.select("symbol").distinct())
-    return rounded(out.groupBy("left_out").agg(F.count("*").alias("trades"), F.sum("pnl").alias("pnl"), F.avg((F.col("pnl") > 0).cast("int")).alias("win_rate")))
+    out = joins.leave_one_out(t, "symbol", {"pnl": F.col("pnl"), "wins": (F.col("pnl") > 0).cast("long")})
+    return rounded(out.select("left_out", F.col("rows").alias("trades"), "pnl", (F.col("wins") / F.col("rows")).alias("win_rate")))
 
 
 # --- scoring ---------------------------------------------------------------------------------

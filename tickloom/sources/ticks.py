@@ -53,9 +53,19 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_as_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def skip_take(df: DataFrame, skip: int, take: int, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Rows skip+1 to skip+take in order; the sort stops at skip + take rows in each task."""
-    return df.orderBy(*order).offset(skip).limit(take)
+def skip_take(df: DataFrame, skip: int, take: int, order: tuple[str, ...] = ORDER, width_ms: int = 3_600_000) -> DataFrame:
+    """Rows skip+1 to skip+take in order, which begins with time_ms.
+
+    Hours are counted first, and only those that hold wanted rows are sorted, each on its own.
+    """
+    hour = F.floor(F.col("time_ms") / width_ms).cast("long")
+    counts = df.groupBy(hour.alias("hour")).agg(F.count("*").alias("rows"))
+    # one task adds up the hours: a row for each hour of the series
+    placed = counts.withColumn("at", F.sum("rows").over(Window.partitionBy().orderBy("hour")) - F.col("rows"))
+    wanted = placed.filter((F.col("at") < skip + take) & (F.col("at") + F.col("rows") > skip)).select("hour", "at")
+    rank = F.col("at") + F.row_number().over(Window.partitionBy("hour").orderBy(*order))
+    out = df.withColumn("hour", hour).join(wanted, "hour").withColumn("_rank", rank)
+    return out.filter((F.col("_rank") > skip) & (F.col("_rank") <= skip + take)).select(*df.columns)
 
 
 def scan_problems(df: DataFrame) -> DataFrame:
