@@ -59,7 +59,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them.
 
     A null source is a source like another, the last in order; documents without words
-    take no room.  Ties in the seeded order go by doc_id, and reruns agree.
+    are never taken.  Ties in the seeded order go by doc_id, and reruns agree.
     """
     return mixed_documents(spark, docs, WEIGHTS, SHARE, REPEATS, SEED)
 
