@@ -218,7 +218,7 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, dec
             yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
         worker.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary" + ", decoded string" * decoded)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(c.tidied(encode), "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
 def _decoded(vocabulary: Vocabulary, ids: bytes) -> str:
@@ -247,7 +247,7 @@ def bpe_id_lists(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary) -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(sums)], names=["doc_id", "n_tokens", "ids", "text_sha256"])
         worker.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>, text_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(c.tidied(encode), "doc_id long, n_tokens long, ids array<int>, text_sha256 string")
 
 
 def bpe_decode(spark: SparkSession, encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -264,4 +264,4 @@ def bpe_decode(spark: SparkSession, encoded: DataFrame, vocabulary: Vocabulary)
             texts = [_decoded(shared.value, x.as_py() or b"") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(c.tidied(decode), "doc_id long, ids binary, decoded string")

@@ -12,8 +12,10 @@ single entries.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -34,6 +36,8 @@ BUCKET_ENTRIES, LARGEST_BUCKET, ENTRIES_FROM = 1 << 17, 1 << 24, 1 << 28
 LEAST_BUCKET_BITS = 10
 #: Buckets of the table of packs that one task writes to, so that its packs share so many files.
 TASK_BUCKETS = 4
+#: Seconds between two times that a worker on groups gives unused memory back.
+TIDY_SECONDS = 0.5
 #: Stands for a null id where ids are compared: after all others.
 LAST_ID = np.iinfo(np.int64).max
 
@@ -108,6 +112,57 @@ def _remove_workspaces() -> None:
             return
 
 
+_tidied_at = [0.0]
+
+
+def _give_back() -> None:
+    """Pages that Arrow and the C library hold without use go back; a worker that stands by would keep them for good."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+    finally:
+        _tidied_at[0] = time.monotonic()
+
+
+def _give_back_at_times() -> None:
+    if time.monotonic() - _tidied_at[0] > TIDY_SECONDS:
+        _give_back()
+
+
+def tidied(f):
+    """f for mapInArrow; the worker gives back unused memory at the end of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _give_back()
+
+    return run
+
+
+def tidied_groups(f):
+    """f for applyInArrow on groups; the worker gives back unused memory at times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        _give_back_at_times()
+        return out
+
+    return run
+
+
+def tidied_cogroups(f):
+    """f for applyInArrow on cogroups with their key; the worker gives back unused memory at times."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(key, left, right)
+        _give_back_at_times()
+        return out
+
+    return run
+
+
 def squeeze(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
@@ -209,7 +264,7 @@ def pack_documents(ws: Workspace, docs: DataFrame, keep: tuple[str, ...] = ()) -
         if held:
             yield flush()
 
-    return ws.bucketed(chosen.mapInArrow(pack, PACK_SCHEMA), "packs", "pack_id")
+    return ws.bucketed(chosen.mapInArrow(tidied(pack), PACK_SCHEMA), "packs", "pack_id")
 
 
 def open_pack(raw: bytes) -> pa.Table:
@@ -290,7 +345,7 @@ def row_places(packs: DataFrame, more: str = "", make=None) -> DataFrame:
                 own = make(table) if make else {}
                 yield pa.RecordBatch.from_arrays([pa.array([row["pack_id"]] * n, pa.int64()), pa.array(np.arange(n)), table.column("doc_id").combine_chunks(), *own.values()], names=["pack_id", "row", "doc_id", *own])
 
-    return packs.select("pack_id", "pack").mapInArrow(index, "pack_id long, row long, doc_id long" + (f", {more}" if more else ""))
+    return packs.select("pack_id", "pack").mapInArrow(tidied(index), "pack_id long, row long, doc_id long" + (f", {more}" if more else ""))
 
 
 def rows_by_pack(places: DataFrame) -> DataFrame:
@@ -299,7 +354,7 @@ def rows_by_pack(places: DataFrame) -> DataFrame:
     def pick(table: pa.Table) -> pa.Table:
         return pa.table({"bucket": [0], "pack_id": [table.column("pack_id")[0].as_py()], "mask": pa.array([np.sort(table.column("row").to_numpy()).tobytes()], pa.binary())}, schema=REPLY_ARROW)
 
-    return places.select("pack_id", "row").groupBy("pack_id").applyInArrow(pick, REPLY_SCHEMA)
+    return places.select("pack_id", "row").groupBy("pack_id").applyInArrow(tidied_groups(pick), REPLY_SCHEMA)
 
 
 def chosen_rows(reply) -> np.ndarray:
@@ -317,7 +372,7 @@ def emit_rows(packs: DataFrame, rows: DataFrame, like: DataFrame) -> DataFrame:
                 if len(at):
                     yield from open_pack(row["pack"]).select(names).take(at).combine_chunks().to_batches()
 
-    return with_replies(packs, {"rows": rows}).mapInArrow(emit, like.select(*[F.col(x).cast({"doc_id": "long", "text": "string"}[x]) if x in ("doc_id", "text") else F.col(x) for x in names]).schema)
+    return with_replies(packs, {"rows": rows}).mapInArrow(tidied(emit), like.select(*[F.col(x).cast({"doc_id": "long", "text": "string"}[x]) if x in ("doc_id", "text") else F.col(x) for x in names]).schema)
 
 
 def others(docs: DataFrame) -> tuple[str, ...]:
@@ -345,7 +400,7 @@ def seen_elsewhere(entries: DataFrame) -> DataFrame:
         parts = np.split(again, np.cumsum([len(b) for b in blobs])[:-1])
         return pa.table({"bucket": table.column("bucket").combine_chunks(), "pack_id": table.column("pack_id").combine_chunks(), "mask": pa.array([mask_bytes(p) for p in parts], pa.binary())}, schema=REPLY_ARROW)
 
-    return entries.groupBy("bucket").applyInArrow(reduce, REPLY_SCHEMA)
+    return entries.groupBy("bucket").applyInArrow(tidied_groups(reduce), REPLY_SCHEMA)
 
 
 def earlier_elsewhere(entries: DataFrame) -> DataFrame:
@@ -371,7 +426,7 @@ def earlier_elsewhere(entries: DataFrame) -> DataFrame:
         parts = np.split(later, np.cumsum(lens)[:-1])
         return pa.table({"bucket": table.column("bucket").combine_chunks(), "pack_id": table.column("pack_id").combine_chunks(), "mask": pa.array([mask_bytes(p) for p in parts], pa.binary())}, schema=REPLY_ARROW)
 
-    return entries.groupBy("bucket").applyInArrow(reduce, REPLY_SCHEMA)
+    return entries.groupBy("bucket").applyInArrow(tidied_groups(reduce), REPLY_SCHEMA)
 
 
 def count_everywhere(entries: DataFrame) -> DataFrame:
@@ -392,7 +447,7 @@ def count_everywhere(entries: DataFrame) -> DataFrame:
         parts = np.split(total, np.cumsum(lens)[:-1])
         return pa.table({"bucket": table.column("bucket").combine_chunks(), "pack_id": table.column("pack_id").combine_chunks(), "mask": pa.array([squeeze(p.tobytes()) for p in parts], pa.binary())}, schema=REPLY_ARROW)
 
-    return entries.groupBy("bucket").applyInArrow(reduce, REPLY_SCHEMA)
+    return entries.groupBy("bucket").applyInArrow(tidied_groups(reduce), REPLY_SCHEMA)
 
 
 def join_counts(reply) -> np.ndarray:

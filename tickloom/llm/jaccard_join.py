@@ -88,7 +88,7 @@ def _signatures(packs: DataFrame, size: int) -> DataFrame:
                 n = table.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array((row["pack_id"] << 16) + np.arange(n)), pa.array([row["pack_id"]] * n, pa.int64()), pa.array(np.arange(n)), table.column("doc_id").combine_chunks(), pa.array(s.sizes, pa.int64()), pa.array(total(s.value)), pa.array(total(c.mix(s.value ^ np.uint64(_SHORT))))], names=["uid", "pack_id", "row", "doc_id", "n", "sig_a", "sig_b"])
 
-    return packs.select("pack_id", "pack").mapInArrow(sign, "uid long, pack_id long, row long, doc_id long, n long, sig_a long, sig_b long")
+    return packs.select("pack_id", "pack").mapInArrow(c.tidied(sign), "uid long, pack_id long, row long, doc_id long, n long, sig_a long, sig_b long")
 
 
 def _kept_rows(row: dict, n: int) -> np.ndarray:
@@ -113,7 +113,7 @@ def _candidates(packs: DataFrame, kept: DataFrame, size: int, percent: int, ws:
                 blobs = [short[i:j].tobytes() + counts[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(tops, pa.int64()), pa.array([row["pack_id"]] * len(tops), pa.int64()), pa.array(blobs, pa.binary())], schema=c.ENTRY_ARROW)
 
-    counts = ws.table(c.count_everywhere(c.with_replies(packs, {"rows": kept}).mapInArrow(send, c.ENTRY_SCHEMA)), "frequencies")
+    counts = ws.table(c.count_everywhere(c.with_replies(packs, {"rows": kept}).mapInArrow(c.tidied(send), c.ENTRY_SCHEMA)), "frequencies")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +138,7 @@ def _candidates(packs: DataFrame, kept: DataFrame, size: int, percent: int, ws:
                         out["n_prefix"].append(int(in_prefix))
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("columns", pa.list_(pa.int64())), ("places", pa.int64()), ("n_prefix", pa.int64())]))
 
-    return ws.table(c.with_replies(packs, {"rows": kept, "counts": counts}).mapInArrow(choose, "uid long, n long, columns array<long>, places long, n_prefix long"), "candidates")
+    return ws.table(c.with_replies(packs, {"rows": kept, "counts": counts}).mapInArrow(c.tidied(choose), "uid long, n long, columns array<long>, places long, n_prefix long"), "candidates")
 
 
 def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -256,7 +256,7 @@ def _multiply(ws: c.Workspace, rows: DataFrame, pairs: DataFrame, percent: int)
         linked = _wanted_overlaps(*_entries_of(table.column("columns")), table.column("n").to_numpy(), i, j, percent)
         return pa.table({"a": uid[i[linked]], "b": uid[j[linked]]})
 
-    return ws.table(cut.groupBy("block", "part").cogroup(filled.groupBy("_block", "_part")).applyInArrow(product, LINKS), "links")
+    return ws.table(cut.groupBy("block", "part").cogroup(filled.groupBy("_block", "_part")).applyInArrow(c.tidied_cogroups(product), LINKS), "links")
 
 
 def _multiply_blocks(ws: c.Workspace, rows: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
@@ -288,7 +288,7 @@ def _multiply_blocks(ws: c.Workspace, rows: DataFrame, cells: DataFrame, percent
         few = _spanning(len(ends), at[: len(a)], at[len(a) :])
         return pa.table({"a": a[few], "b": b[few]})
 
-    return ws.table(sides[0].union(sides[1]).groupBy(*key).applyInArrow(product, LINKS), "block_links")
+    return ws.table(sides[0].union(sides[1]).groupBy(*key).applyInArrow(c.tidied_groups(product), LINKS), "block_links")
 
 
 def _links(ws: c.Workspace, rows: DataFrame, percent: int) -> DataFrame:

@@ -124,7 +124,7 @@ def _entries(packs: DataFrame, trusted: DataFrame, bits: int, parts: int) -> Dat
                     order, buckets, at = _in_buckets(distinct, bits)
                     yield _entry_rows(buckets, at, row["pack_id"], row["pack_id"] % parts, lang, distinct[order], counts[order])
 
-    return c.with_replies(packs, {"trusted": trusted}).mapInArrow(send, _ENTRY)
+    return c.with_replies(packs, {"trusted": trusted}).mapInArrow(c.tidied(send), _ENTRY)
 
 
 def _read_codes(raw: bytes) -> np.ndarray:
@@ -156,7 +156,7 @@ def _distinct(ws: c.Workspace, entries: DataFrame, parts: int) -> DataFrame:
         return pa.Table.from_batches(rows, schema=_ENTRY_ARROW)
 
     while parts > 1:
-        entries = ws.table(entries.groupBy("bucket", "part").applyInArrow(merge, _ENTRY), "merged")
+        entries = ws.table(entries.groupBy("bucket", "part").applyInArrow(c.tidied_groups(merge), _ENTRY), "merged")
         parts = -(-parts // PART_PACKS)
 
     def reduce(table: pa.Table) -> pa.Table:
@@ -165,7 +165,7 @@ def _distinct(ws: c.Workspace, entries: DataFrame, parts: int) -> DataFrame:
         return pa.concat_tables(out)
 
     # one part is left; entries stand by bucket and part, so this moves nothing where there is no more than one
-    return entries.groupBy("bucket", "part").applyInArrow(reduce, "lang string, bucket long, gram long, n long")
+    return entries.groupBy("bucket", "part").applyInArrow(c.tidied_groups(reduce), "lang string, bucket long, gram long, n long")
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -234,10 +234,10 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, bits:
             masks.append(_planes(step[np.searchsorted(have, _read_codes(raw.as_py()))]))
         return pa.table({"bucket": asked.column("bucket"), "pack_id": asked.column("pack_id"), "lang": asked.column("lang"), "mask": pa.array(masks, pa.binary())})
 
-    cells = model.select("lang", "bucket", "gram", "step").groupBy("bucket").applyInArrow(told, "bucket long, lang string, grams binary, steps binary")
+    cells = model.select("lang", "bucket", "gram", "step").groupBy("bucket").applyInArrow(c.tidied_groups(told), "bucket long, lang string, grams binary, steps binary")
     # every part of a bucket meets the bucket's model
     cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    replies = entries.select("bucket", "part", "pack_id", "lang", "codes").groupBy("bucket", "part").cogroup(cells.groupBy("bucket", "part")).applyInArrow(answer, "bucket long, pack_id long, lang string, mask binary")
+    replies = entries.select("bucket", "part", "pack_id", "lang", "codes").groupBy("bucket", "part").cogroup(cells.groupBy("bucket", "part")).applyInArrow(c.tidied_cogroups(answer), "bucket long, pack_id long, lang string, mask binary")
     by_pack = replies.groupBy("pack_id").agg(F.collect_list(F.struct("lang", "bucket", "mask")).alias("steps"))
     asked = packs.select("pack_id", "pack").join(by_pack.hint("shuffle_hash"), "pack_id", "left")
 
@@ -259,7 +259,7 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, bits:
                     perplexity = np.exp(total / n_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array([row["pack_id"]] * table.num_rows, pa.int64()), pa.array(np.arange(table.num_rows)), table.column("doc_id").combine_chunks(), table.column("lang").combine_chunks(), pa.array(n_bytes), pa.array(perplexity, mask=n_bytes == 0)], names=["pack_id", "row", "doc_id", "lang", "n_bytes", "perplexity"])
 
-    return asked.mapInArrow(score, "pack_id long, row long, doc_id long, lang string, n_bytes long, perplexity double")
+    return asked.mapInArrow(c.tidied(score), "pack_id long, row long, doc_id long, lang string, n_bytes long, perplexity double")
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: int = 5) -> DataFrame:

@@ -136,7 +136,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = 20, base:
                         blobs = [short[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays([pa.array(tops, pa.int64()), pa.array([row["pack_id"]] * len(tops), pa.int64()), pa.array(blobs, pa.binary())], schema=c.ENTRY_ARROW)
 
-        entries = c.with_replies(packs, {f"level_{x}": replies[f"level_{x}"] for x in levels[:k]}).mapInArrow(send, c.ENTRY_SCHEMA)
+        entries = c.with_replies(packs, {f"level_{x}": replies[f"level_{x}"] for x in levels[:k]}).mapInArrow(c.tidied(send), c.ENTRY_SCHEMA)
         found = c.earlier_elsewhere(entries) if last else c.seen_elsewhere(entries)
         replies[f"level_{size}"] = ws.table(found, f"level_{size}")
         if not last and replies[f"level_{size}"].isEmpty():
@@ -196,5 +196,5 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 20, base
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(pack.words.n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode() for x in kept] if with_text else [None] * len(kept), pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    out = c.with_replies(packs, replies).mapInArrow(cut, RESULT)
+    out = c.with_replies(packs, replies).mapInArrow(c.tidied(cut), RESULT)
     return out if with_text else out.drop("kept_text")

@@ -345,7 +345,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = True) -
     """
     ws = c.Workspace(spark)
     packs = c.pack_documents(ws, docs)
-    out = c.with_replies(packs, _repeats(ws, packs)).mapInArrow(_per_pack(lambda row: _cut(row, with_text)), RESULT)
+    out = c.with_replies(packs, _repeats(ws, packs)).mapInArrow(c.tidied(_per_pack(lambda row: _cut(row, with_text))), RESULT)
     return out if with_text else out.drop("kept")
 
 
@@ -376,7 +376,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
         yield from table.select(names).combine_chunks().to_batches()
 
     schema = docs.select(*[F.col(x).cast({"doc_id": "long", "text": "string"}[x]) if x in ("doc_id", "text") else F.col(x) for x in names]).schema
-    return c.with_replies(packs, _repeats(ws, packs)).mapInArrow(_per_pack(cut), schema)
+    return c.with_replies(packs, _repeats(ws, packs)).mapInArrow(c.tidied(_per_pack(cut)), schema)
 
 
 def _repeats(ws: c.Workspace, packs: DataFrame) -> dict[str, DataFrame]:
@@ -395,7 +395,7 @@ def _repeats(ws: c.Workspace, packs: DataFrame) -> dict[str, DataFrame]:
         short = c.short_keys(keys, anchor_bits)
         yield blobs(keys, row["pack_id"], anchor_bits, lambda i, j: short[i:j].tobytes())
 
-    anchors = ws.table(c.seen_elsewhere(packs.select("pack_id", "pack").mapInArrow(_per_pack(send_anchors), c.ENTRY_SCHEMA)), "anchors")
+    anchors = ws.table(c.seen_elsewhere(packs.select("pack_id", "pack").mapInArrow(c.tidied(_per_pack(send_anchors)), c.ENTRY_SCHEMA)), "anchors")
 
     def find_pieces(row: dict) -> Iterator[pa.RecordBatch]:
         table = c.open_pack(row["pack"])
@@ -413,7 +413,7 @@ def _repeats(ws: c.Workspace, packs: DataFrame) -> dict[str, DataFrame]:
         own = [pieces.dump(), c.squeeze(np.packbits(is_first).tobytes()), c.squeeze(np.searchsorted(np.flatnonzero(is_first), first).astype(np.int32).tobytes())]
         yield pa.RecordBatch.from_arrays([pa.array([-3, -2, -1], pa.int64()), pa.array([row["pack_id"]] * 3, pa.int64()), pa.array(own, pa.binary())], schema=c.ENTRY_ARROW)
 
-    found = ws.table(c.with_replies(packs, {"anchors": anchors}).mapInArrow(_per_pack(find_pieces), c.ENTRY_SCHEMA), "pieces")
+    found = ws.table(c.with_replies(packs, {"anchors": anchors}).mapInArrow(c.tidied(_per_pack(find_pieces)), c.ENTRY_SCHEMA), "pieces")
     kept = found.withColumnRenamed("blob", "mask")
     own = {"pieces": kept.filter("bucket = -3"), "firsts": kept.filter("bucket in (-2, -1)")}
     own["later"] = ws.table(c.earlier_elsewhere(found.filter("bucket >= 0")), "later")
@@ -421,7 +421,7 @@ def _repeats(ws: c.Workspace, packs: DataFrame) -> dict[str, DataFrame]:
     def send_pieces(row: dict) -> Iterator[pa.RecordBatch]:
         yield _send_pieces(row, shard_bits)
 
-    own["strings"] = ws.table(c.with_replies(packs, own).mapInArrow(_per_pack(send_pieces), c.ENTRY_SCHEMA).groupBy("bucket").applyInArrow(_sort_shard, c.REPLY_SCHEMA), "strings")
+    own["strings"] = ws.table(c.with_replies(packs, own).mapInArrow(c.tidied(_per_pack(send_pieces)), c.ENTRY_SCHEMA).groupBy("bucket").applyInArrow(c.tidied_groups(_sort_shard), c.REPLY_SCHEMA), "strings")
 
     return own
 

@@ -167,7 +167,7 @@ def _search_all(spark: SparkSession, vectors: DataFrame, is_query: Column, k: in
                 leaf[own] = splits[d].leaf(method_of(int(d)).flat(_matrix(pa.chunked_array([batch.column("vector").take(pa.array(own))]))))
             yield batch.append_column("leaf", pa.array(leaf))
 
-    placed = ws.table(used.mapInArrow(place, "vec_id long, vector array<double>, dim int, asks boolean, leaf long"), "placed")
+    placed = ws.table(used.mapInArrow(c.tidied(place), "vec_id long, vector array<double>, dim int, asks boolean, leaf long"), "placed")
     placed = placed.withColumn("region", F.expr("CASE dim " + " ".join(f"WHEN {d} THEN shiftright(leaf, {x})" for d, x in shift.items()) + " END"))
 
     def cut(df: DataFrame, by: str, most: int, name: str) -> DataFrame:
@@ -182,7 +182,7 @@ def _search_all(spark: SparkSession, vectors: DataFrame, is_query: Column, k: in
         tree, _ = KdTree.load(raw)
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": [table.column("shard")[0].as_py()], "region": [table.column("region")[0].as_py()], "box": [_pack(low=tree.low[0], high=tree.high[0])], "tree": pa.array([raw], pa.binary())})
 
-    trees = ws.table(cut(placed, "leaf", SHARD_ROWS, "shard").groupBy("dim", "shard").applyInArrow(plant, "dim int, shard long, region long, box binary, tree binary"), "trees")
+    trees = ws.table(cut(placed, "leaf", SHARD_ROWS, "shard").groupBy("dim", "shard").applyInArrow(c.tidied_groups(plant), "dim int, shard long, region long, box binary, tree binary"), "trees")
     shards = {r["dim"]: r["n"] for r in trees.groupBy("dim").agg(F.count("*").alias("n")).collect()}
 
     def gather(table: pa.Table) -> pa.Table:
@@ -191,7 +191,7 @@ def _search_all(spark: SparkSession, vectors: DataFrame, is_query: Column, k: in
         raw = _pack(of=np.arange(len(ids)), ids=ids[order], queries=matrix[order], floor=np.full(len(ids), -math.inf))
         return pa.table({"dim": pa.array([table.column("dim")[0].as_py()], pa.int32()), "block": [table.column("block")[0].as_py()], "region": [table.column("region")[0].as_py()], "queries": pa.array([raw], pa.binary())})
 
-    asked = cut(placed.filter("asks"), "region", BLOCK_ROWS, "block").groupBy("dim", "block").applyInArrow(gather, "dim int, block long, region long, queries binary")
+    asked = cut(placed.filter("asks"), "region", BLOCK_ROWS, "block").groupBy("dim", "block").applyInArrow(c.tidied_groups(gather), "dim int, block long, region long, queries binary")
     home = trees.groupBy("dim", "region").agg(F.min("shard").alias("shard"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def _search_all(spark: SparkSession, vectors: DataFrame, is_query: Column, k: in
                 yield pa.RecordBatch.from_pydict(_found_row(row["dim"], row["block"], row["shard"], q["of"], tops) | {"queries": [_pack(**q)]}, schema=pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("shard", pa.int64()), ("found", pa.binary()), ("queries", pa.binary())]))
 
     one = asked.join(home, ["dim", "region"]).join(trees.drop("region", "box"), ["dim", "shard"])
-    start = ws.table(one.mapInArrow(first, f"{_FOUND}, queries binary"), "first")
+    start = ws.table(one.mapInArrow(c.tidied(first), f"{_FOUND}, queries binary"), "first")
 
     def page(table: pa.Table) -> pa.Table:
         boxes = [_unpack(x.as_py()) for x in table.column("box")]
@@ -211,7 +211,7 @@ def _search_all(spark: SparkSession, vectors: DataFrame, is_query: Column, k: in
         return pa.table({"dim": pa.array([table.column("dim")[0].as_py()], pa.int32()), "boxes": pa.array([raw], pa.binary())})
 
     pages = trees.select("dim", "shard", "box").withColumn("page", F.pmod(F.xxhash64("shard"), per_dim({d: math.ceil(n / PAGE_BOXES) for d, n in shards.items()})))
-    pages = pages.groupBy("dim", "page").applyInArrow(page, "dim int, boxes binary")
+    pages = pages.groupBy("dim", "page").applyInArrow(c.tidied_groups(page), "dim int, boxes binary")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each block and page of boxes: the shards to search, with the queries they may improve."""
@@ -231,8 +231,8 @@ def _search_all(spark: SparkSession, vectors: DataFrame, is_query: Column, k: in
                 yield pa.RecordBatch.from_pydict(_found_row(row["dim"], row["block"], row["shard"], q["of"], tops), schema=pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("shard", pa.int64()), ("found", pa.binary())]))
 
     # every block meets every page of boxes, which are few
-    routed = start.select("dim", "block", "shard", "queries").join(pages, "dim").mapInArrow(route, "dim int, block long, shard long, queries binary")
-    ended = ws.table(routed.join(trees.drop("region", "box"), ["dim", "shard"]).mapInArrow(rest, _FOUND), "rest")
+    routed = start.select("dim", "block", "shard", "queries").join(pages, "dim").mapInArrow(c.tidied(route), "dim int, block long, shard long, queries binary")
+    ended = ws.table(routed.join(trees.drop("region", "box"), ["dim", "shard"]).mapInArrow(c.tidied(rest), _FOUND), "rest")
     found = start.select("dim", "block", "shard", "found").unionByName(ended)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -243,7 +243,7 @@ def _search_all(spark: SparkSession, vectors: DataFrame, is_query: Column, k: in
 
     parts = math.ceil(max(shards.values()) / MERGED)
     while parts > 1:
-        found = ws.table(found.withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(parts))).groupBy("dim", "block", "part").applyInArrow(merge, _FOUND), "merged")
+        found = ws.table(found.withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(parts))).groupBy("dim", "block", "part").applyInArrow(c.tidied_groups(merge), _FOUND), "merged")
         parts = math.ceil(parts / MERGED)
 
     def finish(key, table: pa.Table, asks: pa.Table) -> pa.Table:
@@ -257,7 +257,7 @@ def _search_all(spark: SparkSession, vectors: DataFrame, is_query: Column, k: in
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64() if kind == "long" else pa.float64())]))
 
     told = start.select(F.col("dim").alias("_dim"), F.col("block").alias("_block"), "queries")
-    return found.groupBy("dim", "block").cogroup(told.groupBy("_dim", "_block")).applyInArrow(finish, RESULT.format(score=kind))
+    return found.groupBy("dim", "block").cogroup(told.groupBy("_dim", "_block")).applyInArrow(c.tidied_cogroups(finish), RESULT.format(score=kind))
 
 
 def exact_top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
