@@ -17,6 +17,12 @@ def finite(x: Column, otherwise: float | None = 0.0) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(otherwise)).otherwise(x)
 
 
+def ratio(x: Column, y: Column) -> Column:
+    """x / y as floating point has it: over 0 an infinity of x's sign, or NaN of 0 / 0; Spark's division fails there."""
+    over_zero = F.when((x == 0) | F.isnan(x), F.lit(float("nan"))).otherwise(F.signum(x) * F.lit(float("inf")))
+    return F.when(y == 0, over_zero).otherwise(x / F.nullif(y, F.lit(0.0)))
+
+
 def tri_state(x: Column, threshold: Column | float) -> Column:
     """1 above the threshold, -1 below its negative, else 0 (null too)."""
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)

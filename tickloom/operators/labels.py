@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.functions.columns import ratio
 from tickloom.shipping import ship
 from tickloom.sources.ticks import by_symbol, in_chunks
 
@@ -84,11 +85,12 @@ def triple_barrier(ticks: DataFrame, sampled: DataFrame, window: int, horizon: i
 
     Both barriers stand max(entry * sigma * sqrt(horizon) * k, cost_mult * mean spread)
     away.  Whether a path touches at all is known from its extremes; only the samples
-    that do are matched with their horizon's ticks, by symbol and position.
+    that do are matched with their horizon's ticks, by symbol and position.  An entry
+    at 0 has an infinite tb_ret and tb_cost (NaN where the move or the spread is 0 too).
     """
     sigma = F.sqrt(F.col("ret2") / F.col("rets"))
     barred = sampled.withColumn("barrier", F.greatest(F.col("entry_mid") * sigma * (horizon**0.5) * k, cost_mult * F.col("future_spread")))
-    touching = barred.filter((F.col("path_high") >= F.col("entry_mid") + F.col("barrier")) | (F.col("path_low") <= F.col("entry_mid") - F.col("barrier")))
+    touching = barred.filter((F.col("path_high") - F.col("entry_mid") >= F.col("barrier")) | (F.col("entry_mid") - F.col("path_low") >= F.col("barrier")))
     # a horizon covers few blocks of positions; ticks meet samples in equal blocks
     at = numbered(ticks.select("symbol", "seq", "time_ms", F.col("mid").alias("path_mid"))).select("symbol", "pos", "path_mid").withColumn("block", F.floor(F.col("pos") / horizon))
     spans = touching.select("symbol", "t_index", "entry_mid", "barrier").withColumn("block", F.explode(F.sequence(F.floor((F.col("t_index") + window) / horizon), F.floor((F.col("t_index") + window + horizon - 1) / horizon))))
@@ -97,7 +99,7 @@ def triple_barrier(ticks: DataFrame, sampled: DataFrame, window: int, horizon: i
     first = spans.join(at, ["symbol", "block"]).filter(inside & hit).groupBy("symbol", "t_index").agg(F.min_by("path_mid", "pos").alias("touch_mid"), F.min("pos").alias("touch_pos"))
     out = barred.join(first, ["symbol", "t_index"], "left")
     end = F.coalesce("touch_mid", "exit_mid")
-    return out.withColumns({"tb_label": F.when(F.col("touch_mid").isNull(), 1).when(F.col("touch_mid") > F.col("entry_mid"), 0).otherwise(2), "tb_ret": (end - F.col("entry_mid")) / F.col("entry_mid"), "exit_mid": end, "tb_cost": F.col("future_spread") / F.col("entry_mid")})
+    return out.withColumns({"tb_label": F.when(F.col("touch_mid").isNull(), 1).when(F.col("touch_mid") > F.col("entry_mid"), 0).otherwise(2), "tb_ret": ratio(end - F.col("entry_mid"), F.col("entry_mid")), "exit_mid": end, "tb_cost": ratio(F.col("future_spread"), F.col("entry_mid"))})
 
 
 def environment(hour: Column, rv: Column, difficulty: Column) -> Column:
