@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 import duckdb
@@ -49,5 +50,24 @@ def test_gives_rows(spark, name):
     assert QUERIES[name](spark, folder).count() > 0
 
 
+def written_events(spark, folder, rows):
+    """A folder with events of rows (event_id, milliseconds, event_type, value)."""
+    e = spark.createDataFrame(rows, "event_id long, ms long, event_type string, value double")
+    e = e.selectExpr("event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, ms / 1000) AS ts", "event_id AS user_id", "event_type", "value", "concat('{\"k\": ', event_id % 100, '}') AS props")
+    e.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_guard_of_odd_prices(spark, tmp_path):
+    values = [1.0, 0.0, -1.0, 3.0, math.nan, None, math.inf, -0.0, 100.0]
+    folder = written_events(spark, str(tmp_path), [(k, k, "A", x) for k, x in enumerate(values * 2)])
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    name = "finite_guard_and_clamp"
+    want = con.execute(f"select symbol, seq, x, z from ({ORACLES[name]}) order by seq").fetchall()
+    got = [tuple(r) for r in QUERIES[name](spark, folder).select("symbol", "seq", "x", "z").orderBy("seq").collect()]
+    assert str(got) == str(want) and got[1][2] == -math.inf
+
+
 def test_flagship(spark):
     assert catalog.flagship(spark, SMALL).count() > 0

@@ -9,7 +9,8 @@ from pyspark.sql import Column, functions as F
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(x, F.lit(high)))
+    """x within low and high; null counts as low."""
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
 def finite(x: Column, otherwise: float | None = 0.0) -> Column:
@@ -23,6 +24,11 @@ def ratio(x: Column, y: Column) -> Column:
     return F.when(y == 0, over_zero).otherwise(x / F.nullif(y, F.lit(0.0)))
 
 
+def ln(x: Column) -> Column:
+    """Natural logarithm as floating point has it: minus infinity of 0, NaN below; Spark's is null there."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log(x))
+
+
 def tri_state(x: Column, threshold: Column | float) -> Column:
     """1 above the threshold, -1 below its negative, else 0 (null too)."""
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
