@@ -155,6 +155,17 @@ def test_cascade_closes_on_elapsed_time(spark):
     assert [(r["start_ms"], r["ticks"], r["close"]) for r in got] == [(0, 3, 12.0), (3000, 3, 15.0), (6000, 1, 16.0)]
 
 
+def test_partial_bars_that_share_a_time(spark):
+    """Parts that begin or end in one millisecond merge to the bar of all their ticks, however they come."""
+    d, df = make_ticks(spark, 120)
+    d = d.withColumn("time_ms", F.col("time_ms") - F.col("time_ms") % 20_000)
+    whole = bars.bars(d, 20_000).orderBy("bucket_ms").toPandas()
+    for order in ((0, 1, 2), (2, 1, 0)):
+        parts = [bars.bars(d.filter(F.col("seq") % 3 == k), 20_000, seqs=True) for k in order]
+        got = bars.merged_bars(parts[0].unionByName(parts[1]).unionByName(parts[2]).coalesce(1)).orderBy("bucket_ms").toPandas()
+        assert (got.parts > 1).any() and got.open.tolist() == whole.open.tolist() and got.close.tolist() == whole.close.tolist()
+
+
 def test_triple_barrier_against_a_loop(spark):
     d, df = make_ticks(spark, 300)
     w, h = 64, 32

@@ -9,12 +9,15 @@ def bucket(time: Column, width_ms: int) -> Column:
     return F.floor(time / width_ms).cast("long") * F.lit(width_ms)
 
 
-def bars(ticks: DataFrame, width_ms: int) -> DataFrame:
+def bars(ticks: DataFrame, width_ms: int, seqs: bool = False) -> DataFrame:
     """OHLC of the mid, mean spread, volumes and tick count; buckets without ticks are left out.
 
     First and last are by (time, seq), so partial aggregation combines them in any order.
+    With seqs also first_seq and last_seq, theirs, by which merged_bars() orders parts
+    whose first or last ticks share a time.
     """
     when = F.struct("time_ms", "seq")
+    extra = [F.min_by("seq", when).alias("first_seq"), F.max_by("seq", when).alias("last_seq")] if seqs else []
     return ticks.groupBy("symbol", bucket(F.col("time_ms"), width_ms).alias("bucket_ms")).agg(
         F.min_by("mid", when).alias("open"),
         F.max("mid").alias("high"),
@@ -26,6 +29,7 @@ def bars(ticks: DataFrame, width_ms: int) -> DataFrame:
         F.count("*").alias("ticks"),
         F.min("time_ms").alias("first_tick_ms"),
         F.max("time_ms").alias("last_tick_ms"),
+        *extra,
     )
 
 
@@ -56,12 +60,19 @@ def wide_bars(ticks: DataFrame, width_ms: int = 60_000) -> DataFrame:
 
 
 def merged_bars(partial: DataFrame, flags_all: tuple[str, ...] = (), flags_any: tuple[str, ...] = ()) -> DataFrame:
-    """Partial bars of one bucket as one: first open, extremes, last close, means weighted by ticks."""
+    """Partial bars of one bucket as one: first open, extremes, last close, means weighted by ticks.
+
+    With first_seq and last_seq, first and last are those of the ticks in order; without
+    them parts that share a time come in any order.
+    """
+    seqs = "first_seq" in partial.columns and "last_seq" in partial.columns
+    first, last = (F.struct(f"{x}_tick_ms", *([f"{x}_seq"] if seqs else [])) for x in ("first", "last"))
+    extra = [F.min_by("first_seq", first).alias("first_seq"), F.max_by("last_seq", last).alias("last_seq")] if seqs else []
     mean = lambda c: (F.sum(F.col(c) * F.col("ticks")) / F.sum("ticks")).alias(c)
     return partial.groupBy("symbol", "bucket_ms").agg(
-        F.min_by("open", "first_tick_ms").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last_tick_ms").alias("close"), mean("spread"),
+        F.min_by("open", first).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", last).alias("close"), mean("spread"),
         F.sum("ask_vol").alias("ask_vol"), F.sum("bid_vol").alias("bid_vol"), F.sum("ticks").alias("ticks"), F.min("first_tick_ms").alias("first_tick_ms"), F.max("last_tick_ms").alias("last_tick_ms"),
-        F.count("*").alias("parts"), *(F.bool_and(c).alias(c) for c in flags_all), *(F.bool_or(c).alias(c) for c in flags_any),
+        F.count("*").alias("parts"), *extra, *(F.bool_and(c).alias(c) for c in flags_all), *(F.bool_or(c).alias(c) for c in flags_any),
     )
 
 

@@ -143,11 +143,11 @@ def bars_mean_of_means(spark, sf_dir):
 @query(rounded_sql(f"""WITH {TICKS}, p AS (SELECT symbol, seq % 3 AS part, (time_ms // {HOUR}) * {HOUR} AS bucket_ms, arg_min(mid, (time_ms, seq)) AS open, max(mid) AS high, min(mid) AS low, arg_max(mid, (time_ms, seq)) AS close, avg(ask - bid) AS spread, count(*) AS ticks, min(time_ms) AS a, max(time_ms) AS z FROM ticks GROUP BY ALL)
 SELECT symbol, bucket_ms, arg_min(open, a) AS open, max(high) AS high, min(low) AS low, arg_max(close, z) AS close, sum(spread * ticks) / sum(ticks) AS spread, CAST(sum(ticks) AS BIGINT) AS ticks, count(*) AS parts, bool_and(ticks > 1) AS all_busy, bool_or(ticks > 2) AS any_busy FROM p GROUP BY ALL""", "open high low close spread"))
 def bars_from_partials(spark, sf_dir):
-    """Partial bars of three sources, made one."""
+    """Partial bars of three sources, made one; where parts begin or end at one time, by seq, which the twin leaves open."""
     d = ticks_of(spark, sf_dir)
     out = None
     for k in range(3):
-        part = b.bars(d.filter(F.col("seq") % 3 == k), HOUR)
+        part = b.bars(d.filter(F.col("seq") % 3 == k), HOUR, seqs=True)
         out = part if out is None else out.unionByName(part)
     flags = out.withColumns({"all_busy": F.col("ticks") > 1, "any_busy": F.col("ticks") > 2})
     return rounded(b.merged_bars(flags, ("all_busy",), ("any_busy",)).select("symbol", "bucket_ms", "open", "high", "low", "close", "spread", "ticks", "parts", "all_busy", "any_busy"))
