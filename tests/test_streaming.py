@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from settings import SMALL
 from tickloom.operators import bars as b
 from tickloom.operators import simulate
+from tickloom.plans import catalog
 from tickloom.sources import ticks as t
 from tickloom.streaming import bars, stateful
 
@@ -61,6 +62,22 @@ def test_state_carries_over_batches(spark, folder):
         assert np.allclose(mine.ema_16, want)
 
 
+def test_drained_means_come_from_files_in_order(spark, tmp_path):
+    """Later events in the first file: the batch puts them in order, and the rows don't pass the driver."""
+    e = spark.read.parquet(f"{SMALL}/events.parquet")
+    for part in ("event_id % 2 = 1", "event_id % 2 = 0"):
+        e.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    out = catalog.queries()["stream_means"](spark, str(tmp_path))
+    assert out.inputFiles()
+    got = {(r["symbol"], r["seq"]): r["ema_16"] for r in out.collect()}
+    assert len(got) == e.count()
+    for symbol, own in t.ticks(spark, SMALL).orderBy("time_ms", "seq").toPandas().groupby("symbol"):
+        y = own.mid.iloc[0]
+        for seq, m in zip(own.seq, own.mid, strict=True):
+            y += 2 / 17 * (m - y)
+            assert abs(got[symbol, seq] - y) < 1e-6
+
+
 def test_count_windows_and_levels(spark, folder, tmp_path):
     run(stateful.streaming_count_windows(bars.event_stream(spark, folder), 16), "counted")
     n = t.ticks(spark, SMALL).groupBy("symbol").count().agg(F.sum(F.floor(F.col("count") / 16))).first()[0]

@@ -475,7 +475,8 @@ def stream_sliding_means(spark, sf_dir):
 e AS (SELECT symbol, seq, k, mid AS ema FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.seq, n.k, e.ema + (n.mid - e.ema) * (2 / 17.0) FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1)
 SELECT symbol, seq, ema AS ema_16 FROM e""", "ema_16"))
 def stream_means(spark, sf_dir):
-    """Exponential means whose state outlives the micro-batches."""
+    """Exponential means whose state outlives the micro-batches; files are taken up to 256 MB at a time."""
     from tickloom.streaming import stateful
 
-    return rounded(_drained(stateful.streaming_ema(_stream(spark, sf_dir), (16,)), "append").select("symbol", "seq", "ema_16"))
+    ticks = streaming.event_stream(spark, f"{sf_dir}/events*.parquet", bytes_per_trigger=256 << 20)
+    return rounded(streaming.drained(stateful.streaming_ema(ticks, (16,))).select("symbol", "seq", "ema_16"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,19 +15,29 @@ from tickloom.operators.simulate import Level, LevelMemory
 from tickloom.shipping import ship
 
 
+#: Rows that a group hands on at once.
+_AT_ONCE = 1 << 16
+
+
 def streaming_ema(ticks: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
-    """Exponential means of the mid over a stream; each symbol's last values are its state."""
+    """Exponential means of the mid over a stream; each symbol's last values are its state.
+
+    A batch is put in order; batches are taken in the order in which they come.
+    """
     ship(ticks.sparkSession)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         df = pd.concat(list(batches)).sort_values(["time_ms", "seq"])
-        last = json.loads(state.get[0]) if state.exists else [float(df.mid.iloc[0])] * len(spans)
-        rows = []
-        for t in df.itertuples(index=False):
-            last = [y + 2 / (n + 1) * (t.mid - y) for n, y in zip(spans, last, strict=True)]
-            rows.append((key[0], t.seq, t.time_ms, *last))
-        state.update((json.dumps(last),))
-        yield pd.DataFrame(rows, columns=["symbol", "seq", "time_ms", *(f"ema_{n}" for n in spans)])
+        mid = df.mid.tolist()
+        last = json.loads(state.get[0]) if state.exists else [mid[0]] * len(spans)
+        means = {}
+        for n, before in zip(spans, last, strict=True):
+            alpha = 2 / (n + 1)
+            means[f"ema_{n}"] = list(accumulate(mid, lambda y, x, alpha=alpha: y + alpha * (x - y), initial=before))[1:]
+        state.update((json.dumps([x[-1] for x in means.values()]),))
+        out = pd.DataFrame({"symbol": key[0], "seq": df.seq.to_numpy(), "time_ms": df.time_ms.to_numpy(), **means})
+        for at in range(0, len(out), _AT_ONCE):
+            yield out.iloc[at : at + _AT_ONCE]
 
     schema = "symbol string, seq long, time_ms long, " + ", ".join(f"ema_{n} double" for n in spans)
     return ticks.select("symbol", "seq", "time_ms", "mid").groupBy("symbol").applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.NoTimeout)
