@@ -26,6 +26,16 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 # --- quality ---------------------------------------------------------------------------------
 
 
+def test_codes_are_kept_by_context():
+    """Codes come back as they were, and those of text take less room than their differences."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(400)]
+    text = np.unique(quality._codes(" ".join(rng.choice(words, 4000)).encode()))
+    for codes in (text, np.arange(1 << 16) + (7 << 16), np.array([0]), np.array([(1 << 40) - 1]), np.array([], np.int64), np.unique(rng.integers(0, 1 << 40, 3000))):
+        assert quality._read_codes(quality._code_bytes(codes)).tolist() == codes.tolist()
+    assert len(quality._code_bytes(text)) < 0.9 * len(quality._planes(np.diff(text, prepend=0)))
+
+
 class PlainKneserNey:
     """The same model over strings, one n-gram at a time."""
 

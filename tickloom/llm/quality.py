@@ -76,7 +76,7 @@ def _by_language(table: pa.Table) -> Iterator[tuple[str | None, np.ndarray, np.n
 
 
 def _bucket_of(codes: np.ndarray, bits: int) -> np.ndarray:
-    """By all but the last two bytes, so that neighbours, whose differences are small, stay together."""
+    """By all but the last two bytes, so that the codes of a context stay together."""
     return (c.mix((codes >> 16).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -91,6 +91,29 @@ def _from_planes(raw: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(c.unsqueeze(raw), np.uint8).reshape(width, -1).T.copy().view(kind).reshape(-1)
 
 
+def _code_bytes(codes: np.ndarray) -> bytes:
+    """Rising codes compressed: each context (all but the last two bytes) once, with how many codes it has, then the last two bytes of each.
+
+    The bytes stand as they are, in planes: letters are fewer than differences.
+    """
+    top = codes >> 16
+    first = np.flatnonzero(np.r_[True, top[1:] != top[:-1]][: len(top)])
+    more = np.diff(np.r_[first, len(codes)]) - 1  # 65,535 at most
+    heads = (top[first] | more << 24).astype(np.int64)
+    planes = lambda x, n: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+    return c.squeeze(len(first).to_bytes(4, "little") + planes(heads, 5) + planes(codes, 2))
+
+
+def _read_codes(raw: bytes) -> np.ndarray:
+    raw = c.unsqueeze(raw)
+    n = int.from_bytes(raw[:4], "little")
+    heads = np.zeros((n, 8), np.uint8)
+    heads[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 4).reshape(5, n).T
+    heads = heads.view(np.int64).reshape(-1)
+    last = np.frombuffer(raw, np.uint8, offset=4 + 5 * n).reshape(2, -1).astype(np.int64)
+    return np.repeat(heads & 0xFFFFFF, (heads >> 24) + 1) << 16 | last[1] << 8 | last[0]
+
+
 def _in_buckets(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of sorted codes by bucket, the buckets, and where each starts."""
     bucket = _bucket_of(codes, bits)
@@ -108,7 +131,7 @@ def _trusted_rows(row: dict, n: int) -> np.ndarray:
 def _entry_rows(buckets: np.ndarray, at: np.ndarray, pack_id: int, part: int, lang: str | None, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """Rows of codes that stand by bucket, rising in each, from at[k] to at[k + 1]."""
     spans, n = list(zip(at, at[1:], strict=False)), len(buckets)
-    blobs = [pa.array([_planes(np.diff(codes[i:j], prepend=0)) for i, j in spans], pa.binary()), pa.array([_planes(counts[i:j]) for i, j in spans], pa.binary())]
+    blobs = [pa.array([_code_bytes(codes[i:j]) for i, j in spans], pa.binary()), pa.array([_planes(counts[i:j]) for i, j in spans], pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([part] * n, pa.int64()), pa.array([pack_id] * n, pa.int64()), pa.array([lang] * n, pa.string()), *blobs], schema=_ENTRY_ARROW)
 
 
@@ -127,10 +150,6 @@ def _entries(packs: DataFrame, trusted: DataFrame, bits: int, parts: int) -> Dat
     return c.with_replies(packs, {"trusted": trusted}).mapInArrow(c.tidied(send), _ENTRY)
 
 
-def _read_codes(raw: bytes) -> np.ndarray:
-    return np.cumsum(_from_planes(raw, np.int64))
-
-
 def _merged(table: pa.Table) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
     """Language, distinct codes and their counts of a group of entries."""
     langs = table.column("lang").to_pylist()
@@ -222,7 +241,7 @@ def _perplexities(packs: DataFrame, entries: DataFrame, model: DataFrame, bits:
         for lang in set(langs):
             own = np.flatnonzero(np.array([x == lang for x in langs]))
             own = own[np.argsort(grams[own])]
-            for name, value in (("lang", lang), ("grams", _planes(np.diff(grams[own], prepend=0))), ("steps", _planes(steps[own]))):
+            for name, value in (("lang", lang), ("grams", _code_bytes(grams[own])), ("steps", _planes(steps[own]))):
                 out[name].append(value)
         return pa.table({"bucket": [table.column("bucket")[0].as_py()] * len(out["lang"]), **out}, schema=pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("grams", pa.binary()), ("steps", pa.binary())]))
 
